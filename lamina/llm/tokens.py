@@ -237,7 +237,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         for batch in slices(batches, 4000):
             if out is None:
                 fs.create_dir(folder, recursive=True)
-                out = fs.open_output_stream(f"{folder}/{name}")
+                out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                 writer = FileWriter(out)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch), end_id)):
                 writer.add(doc_id, ids)
