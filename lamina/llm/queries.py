@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import langid, mixing, ogg, packing, quality, secrets, sharding, simhash, tokens
+from lamina.llm import langid, mixing, ogg, packing, quality, secrets, sharding, simhash, tokens, toxicity
 from lamina.llm.common import read
 
 
@@ -47,9 +47,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_sharding, op3_language, op4_quality, op5_simhash, op6_secrets, op7_ogg, op8_tokens, op9_mixing)
+    for f in (op1_packing, op2_sharding, op3_language, op4_quality, op5_simhash, op6_secrets, op7_ogg, op8_tokens, op9_mixing, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
