@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from lamina.llm.common import cut, slices, texts
 
 #: Bounds of what is fitted, whatever the size of the corpus: labelled examples, terms.
 MAX_EXAMPLES, MAX_TERMS = 8192, 2048
-NEIGHBOURS, BLOCK, PRIOR, LEAST_DF, LEAST_LIFT = 16, 64, 0.5, 3, 5.0
+NEIGHBOURS, BLOCK, PRIOR, LEAST_DF, LEAST_LIFT, LEAST_GAIN = 16, 64, 0.5, 3, 5.0, 14.0
 PREFIXES = (4, 5, 6)
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -40,6 +41,10 @@ def learnable(docs: Column) -> Column:
 def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, text, toxic of at most ``most`` labelled documents, chosen by a hash of doc_id among the learnable.
 
+    Near copies count once a label: of examples with one least shingle hash (five words;
+    two hashes in turn) the first by doc_id stays, so that the words of one long text
+    that was copied do not look like words of many.
+
     A document with several labels counts as toxic if one says so; of rows with one
     doc_id, one is taken.
     """
@@ -47,14 +52,37 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded set: broadcast is safe
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("_")).select("doc_id", "_.text", "_.toxic")
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("_")).select("doc_id", "_.text", "_.toxic")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [sketch(raw) for raw in texts(batch)]
+            arrays = [batch.column(c) for c in ("doc_id", "text", "toxic")] + [pa.array([k[i] for k in keys], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "toxic", "k0", "k1"])
+
+    kept = found.mapInArrow(run, f"doc_id {id_type}, text string, toxic int, k0 binary, k1 binary")
+    for key in ("k0", "k1"):
+        first = F.min_by(F.struct("doc_id", "text", "k1"), "doc_id").alias("_")
+        kept = kept.groupBy(key, "toxic").agg(first).select("_.doc_id", "_.text", "toxic", "_.k1")
+    return kept.select("doc_id", "text", "toxic")
+
+
+def sketch(raw: bytes) -> list[bytes]:
+    """The least of the text's five-word shingles' XXH64 under two seeds."""
+    words = raw.lower().split()
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(5))))) or [b" ".join(words)]
+    return [min(xxhash.xxh64_digest(g, seed) for g in grams) for seed in (1, 2)]
 
 
 def choose_terms(rows: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
     """The terms that tell toxic examples, with their inverse document frequency: at most ``most``.
 
     A term needs to occur in ``LEAST_DF`` toxic examples and in ``LEAST_LIFT`` times the
-    share of toxic ones than of others; the best by expected gain stay, ties by name.
+    share of toxic ones than of others, and its count in toxic examples times the
+    logarithm of that ratio to the share expected must reach ``LEAST_GAIN``: words that
+    one long text or one group of copies repeats by chance do not. The best by that gain
+    stay, ties by name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +101,9 @@ def choose_terms(rows: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
     counted = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long")
     df = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    best = df.where(F.col("bad") >= LEAST_DF).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    best = best.orderBy((-F.col("bad") * F.log("lift")), "term").limit(most).collect()
+    gain = F.col("bad") * F.log(F.col("bad") * F.lit(float(bad + good)) / (F.col("n") * F.lit(float(bad))))
+    best = df.where((F.col("bad") >= LEAST_DF) & (lift >= LEAST_LIFT)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    best = best.orderBy(-F.col("gain"), "term").limit(most).collect()
     return {r["term"]: float(np.log((1 + bad + good) / (1 + r["n"])) + 1) for r in sorted(best, key=lambda r: r["term"])}
 
 
@@ -158,14 +187,16 @@ class BlockMaxIndex:
 class Scorer:
     """Votes of the nearest examples, made probabilities. ``curve`` holds slope and offset of the logistic curve."""
 
-    def __init__(self, ids: list, toxic: np.ndarray, vectors: list, idf: dict[str, float], k: int = NEIGHBOURS) -> None:
+    def __init__(self, ids: list, toxic: np.ndarray, vectors: list, idf: dict[str, float], k: int = NEIGHBOURS, curve: tuple[float, float] | None = None) -> None:
         self.ids, self.toxic, self.k = ids, toxic.astype(float), k
         self.index = BlockMaxIndex(vectors, len(idf))
         empty = [not len(t) for t, _ in vectors]
         #: The share of toxic examples among those with no chosen term, which are all as far from every text.
         self.base = float((self.toxic[empty].sum() + PRIOR * 0.1) / (sum(empty) + PRIOR)) if len(ids) else 0.0
-        votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
-        self.curve = logistic(votes, self.toxic) if len(ids) and 0 < self.toxic.sum() < len(ids) else (0.0, -10.0)
+        self.curve = curve or (0.0, -10.0)
+        if curve is None and 0 < self.toxic.sum() < len(ids):
+            none = self.vote((np.zeros(0, np.int64), np.zeros(0)))[0]
+            self.curve = logistic(np.array([self.vote(v, i)[0] if len(v[0]) else none for i, v in enumerate(vectors)]), self.toxic)
 
     def vote(self, vector, without: int = -1) -> tuple[float, np.ndarray]:
         """The toxic share of the nearest examples, weighted by squared cosine, and the examples."""
@@ -231,11 +262,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPL
     fitted = fit(docs, labels, most_examples, most_terms)
     id_type = docs.schema["doc_id"].dataType
     arrow = pa.int64() if id_type.simpleString() in ("bigint", "int") else None
+    curve = Scorer(fitted[1], np.array(fitted[2]), fitted[3], fitted[0]).curve
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded: examples x terms of each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, ids, toxic, examples_ = shared.value
-        vectors, scorer = Vectors(idf), Scorer(ids, np.array(toxic), examples_, idf)
+        vectors, scorer = Vectors(idf), Scorer(ids, np.array(toxic), examples_, idf, curve=curve)
         none = scorer((np.zeros(0, np.int64), np.zeros(0)))
         for batch in slices(batches, 4000):
             found = [vectors(raw) for raw in texts(batch)]
