@@ -1,0 +1,62 @@
+"""One local session for all tests, and a comparison with DuckDB."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+DATA = os.environ.get("LAMINA_TESTDATA", "/root/testdata")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    path = tmp_path_factory.mktemp("spark")
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "4g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", str(path / "warehouse"))
+        .config("spark.checkpoint.dir", f"file://{path}/shared")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def rows_of(columns, rows):
+    """Rows as a sorted list of tuples with columns by name, numbers rounded, for comparison in any order."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+
+    def plain(v):
+        if isinstance(v, float):
+            return round(v, 6)
+        return int(v) if type(v).__name__ == "Decimal" and v == v.to_integral_value() else v
+
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+@pytest.fixture(scope="session")
+def same_as_duckdb():
+    import duckdb
+
+    def check(df, sql, sf_dir):
+        con = duckdb.connect()
+        for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+            con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        cur = con.execute(sql)
+        theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
+        ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
+        assert sorted(df.columns) == sorted(d[0] for d in cur.description)
+        assert len(ours) == len(theirs)
+        assert ours == theirs
+
+    return check
