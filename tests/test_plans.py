@@ -1,0 +1,128 @@
+"""Statements: what parses to what, and what is refused."""
+
+from decimal import Decimal
+
+import pytest
+
+from lamina import errors as E
+from lamina.config import Config
+from lamina.functions.types import coerce, logical
+from lamina.plans.lexer import tokenize, unquote
+from lamina.plans.select import TableRef, remaining_columns, table_refs
+from lamina.plans.statements import CreateDatabase, CreateTable, DropTable, InsertSelect, InsertValues, Optimize, Select, parse
+from lamina.sources.catalog import ColumnDef, define, valid_name
+
+
+def test_literals_and_quotes():
+    plan = parse("INSERT INTO db.t (a, b) VALUES ('it''s \\n \\'q\\'', -5), (NULL, +1.5), (TRUE, false);")
+    assert plan == InsertValues("db", "t", ("a", "b"), (("it's \n 'q'", -5), (None, Decimal("1.5")), (True, False)))
+    assert unquote(tokenize("`a``b`")[0]) == "a`b"
+    assert [t.text for t in tokenize("a -- b\n /* c */ >= 'x;y'")] == ["a", ">=", "'x;y'"]
+
+
+def test_create_table():
+    plan = parse("create table if not exists d.t (id UInt32 NOT NULL, name String DEFAULT 'x' NULL) Engine ReplacingMergeTree(a, 1) ORDER BY (id, name) PRIMARY KEY (id)")
+    assert plan == CreateTable("d", "t", (ColumnDef("id", "UInt32", False), ColumnDef("name", "String", True, "x", True)), ("id", "name"), ("id",), "ReplacingMergeTree", True)
+    assert parse("CREATE DATABASE IF NOT EXISTS d") == CreateDatabase("d", True)
+    assert parse("DROP TABLE IF EXISTS d.t") == DropTable("d", "t", True)
+    assert parse("OPTIMIZE TABLE d.t FINAL") == Optimize("d", "t", True)
+    assert parse("INSERT INTO d.t (a) SELECT 1") == InsertSelect("d", "t", ("a",), "SELECT 1")
+    assert parse(" SELECT 1 ; ") == Select(" SELECT 1")
+
+
+@pytest.mark.parametrize(
+    ("sql", "error"),
+    [
+        ("", E.ParseError),
+        ("SELECT 1; SELECT 2", E.ParseError),
+        ("SELECT 'a", E.ParseError),
+        ("DELETE FROM d.t", E.UnsupportedStatement),
+        ("ALTER TABLE d.t ADD COLUMN x Int8", E.UnsupportedStatement),
+        ("CREATE DATABASE a.b", E.ParseError),
+        ("CREATE TABLE t (a Int8)", E.ParseError),
+        ("CREATE TABLE a.b.t (a Int8)", E.ParseError),
+        ("CREATE TABLE d.t (a Int8 NULL NOT NULL)", E.UnsupportedConstraint),
+        ("CREATE TABLE d.t (a Int8 UNIQUE)", E.UnsupportedConstraint),
+        ("CREATE TABLE d.t (a Int8 DEFAULT -1)", E.UnsupportedConstraint),
+        ("CREATE TABLE d.t (a Int8 DEFAULT f(1))", E.UnsupportedConstraint),
+        ("CREATE TABLE d.t (a Int8) ORDER BY (a + 1)", E.ParseError),
+        ("CREATE TABLE d.t (a Int8) PARTITION BY a", E.UnsupportedOption),
+        ("CREATE OR REPLACE TABLE d.t (a Int8)", E.UnsupportedStatement),
+        ("INSERT INTO d.t VALUES (1)", E.InvalidColumns),
+        ("INSERT INTO d.t () VALUES (1)", E.InvalidColumns),
+        ("INSERT INTO d.t (a, a) VALUES (1, 2)", E.InvalidColumns),
+        ("INSERT INTO d.t (a) VALUES", E.InvalidSource),
+        ("INSERT INTO d.t (a) VALUES (1, 2)", E.InvalidSource),
+        ("INSERT INTO d.t (a) VALUES (now())", E.InvalidSource),
+        ("DROP TABLE a.t, a.u", E.ParseError),
+    ],
+)
+def test_refused(sql, error):
+    with pytest.raises(error):
+        parse(sql)
+
+
+@pytest.mark.parametrize("name", ["*", "csji=", "csji122yrd01/", ""])
+def test_bad_names(name):
+    with pytest.raises(E.InvalidName):
+        valid_name(name)
+
+
+@pytest.mark.parametrize("name", ["coffee_shop", "amsterdam", "John_Data", "_all_Data144"])
+def test_good_names(name):
+    assert valid_name(name) == name
+
+
+def test_keys():
+    columns = [ColumnDef("id", "UInt32"), ColumnDef("name", "String")]
+    assert define("d", "t", columns).order_by == ("id",)
+    assert define("d", "t", columns).engine == "MergeTree"
+    assert define("d", "t", columns, ["id", "name"]).primary_key == ("id", "name")
+    assert define("d", "t", columns, None, ["name"]).order_by == ("name",)
+    for order_by, primary_key in (([], None), (["x"], None), (["id", "id"], None), (["id", "name"], ["name"]), (["id"], ["id", "name"])):
+        with pytest.raises(E.InvalidKey):
+            define("d", "t", columns, order_by, primary_key)
+    with pytest.raises(E.InvalidColumns):
+        define("d", "t", [])
+    with pytest.raises(E.InvalidColumns):
+        define("d", "t", columns + columns)
+    with pytest.raises(E.UnsupportedOption):
+        define("d", "t", columns, engine="mergetree")
+    with pytest.raises(E.UnsupportedType):
+        define("d", "t", [ColumnDef("a", "Float64")])
+    with pytest.raises(E.InvalidValue):
+        define("d", "t", [ColumnDef("a", "Int8", False, None, True)])
+    with pytest.raises(E.InvalidValue):
+        define("d", "t", [ColumnDef("a", "UInt8", True, 256, True)])
+
+
+def test_coercion_to_every_type():
+    for name, good, bad in (("UInt64", 2**64 - 1, 2**64), ("Int64", -(2**63), 2**63), ("UInt8", 255, -1), ("Int16", -32768, 32768), ("UInt32", 2**32 - 1, 2**32)):
+        assert coerce(good, logical(name)) == good
+        with pytest.raises(E.InvalidValue):
+            coerce(bad, logical(name))
+    assert coerce("{123E4567-E89B-12D3-A456-426614174000}", logical("UUID")) == "123e4567-e89b-12d3-a456-426614174000"
+
+
+def test_table_references():
+    sql = "SELECT a.b, (SELECT max(x.y) FROM db.u) FROM db.t FINAL, `db`.`v` w JOIN (SELECT 1 FROM q.r) z ON w.a = z.b WHERE f(t.a, db.t) > 1"
+    assert [r for _, _, r in table_refs(sql)] == [TableRef("db", "u", False), TableRef("db", "t", True), TableRef("db", "v", False), TableRef("q", "r", False)]
+
+
+def test_remaining_columns():
+    assert remaining_columns("SELECT a, b, * FROM t") == "SELECT a, b, * EXCEPT (`a`, `b`) FROM t"
+    assert remaining_columns("SELECT * FROM (SELECT c, * FROM t)") == "SELECT * FROM (SELECT c, * EXCEPT (`c`) FROM t)"
+    for same in ("SELECT * FROM t", "SELECT a + 1, * FROM t", "SELECT count(*) FROM t", "SELECT a AS x, * FROM t", "SELECT DISTINCT a FROM t"):
+        assert remaining_columns(same) == same
+    for sql, error in (("SELECT a, a FROM t", E.DuplicateColumn), ("SELECT *, a FROM t", E.StatementError), ("SELECT *, * FROM t", E.StatementError)):
+        with pytest.raises(error):
+            remaining_columns(sql)
+
+
+def test_config(tmp_path):
+    path = tmp_path / "lamina.toml"
+    path.write_text("merge_below = 5\nroot = 'file:///x'\n")
+    assert Config.load(str(path)) == Config(root="file:///x", merge_below=5)
+    path.write_text("nope = 1\n")
+    with pytest.raises(ValueError):
+        Config.load(str(path))
