@@ -13,7 +13,7 @@ class Config:
 
     root: str | None = None
     index_granularity: int = 8192
-    compression: str = "lz4_raw"
+    compression: str = "zstd"
     merge_below: int = 30
     merge_seconds: float = 1.0
 
