@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, fresh, number, word_count
 
-MAX_LENGTH, BUCKETS, TOKEN_BUDGET, BINS = 2048, 16, 65_536, 4096
+MAX_LENGTH, BUCKETS, TOKEN_BUDGET = 2048, 16, 65_536
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -87,9 +87,9 @@ def pack(
     bounds = optimal_bounds([r["length"] for r in found], [r["n"] for r in found], buckets)
     array = F.array(*[F.lit(b).cast("long") for b in bounds or [max_length]])
     bucket = F.size(F.filter(array, lambda b: b < F.col("length")))
-    key = F.xxhash64("doc_id", "chunk")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("chunk").cast("string")).cast("binary"))
     placed = seqs.withColumn("bucket", bucket.cast("int")).withColumn("_key", key)
-    placed = placed.withColumn("_bin", F.pmod(F.col("_key"), F.lit(BINS)).cast("int"))
+    placed = placed.withColumn("_bin", F.substring("_key", 1, 3))
     placed = number(placed, ["bucket"], "_bin", [F.col(c) for c in ("_key", "doc_id", "chunk", "start", "length")], "_at")
     upper = F.element_at(array, F.col("bucket") + 1)
     cap = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / upper))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import slices, texts
 
-WINDOW, MIN_WORDS = 8, 20
+WINDOW, MIN_WORDS, MOST_TOP_WORD = 8, 20, 0.3
 NOT_SYMBOL = bytes(set(range(256)) - set(b"#*$%&|<>"))
 CONTINUATION = bytes(range(0x80, 0xC0))
 SAMPLE_ROWS = 500
@@ -120,7 +120,7 @@ RULES = (
     Rule("repeated_windows", lambda f: 100 * f.n_repeat_words - 30 * f.n_words, most=0),
     Rule("symbols", _per_word("n_symbols"), most=0.5),
     Rule("marks", _per_word("n_marks"), most=0.5),
-    Rule("top_word", _per_word("top_word"), most=0.3),
+    Rule("top_word", _per_word("top_word"), most=MOST_TOP_WORD),
     Rule("stutters", _per_word("n_stutters"), most=0.3),
     Rule("word_length", _per_word("word_chars"), least=2, most=20),
     Rule("repeated_lines", lambda f: f.n_dup_lines / max(1, len(f.lines)), most=0.5),

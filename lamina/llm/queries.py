@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import langid, mixing, ogg, packing, quality, secrets, sharding, simhash, tokens, toxicity
 from lamina.llm.common import read
+from lamina.llm.oracles import ORACLE_SQL
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +52,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_packing, op2_sharding, op3_language, op4_quality, op5_simhash, op6_secrets, op7_ogg, op8_tokens, op9_mixing, op10_toxicity)
 }
-
-ORACLE_SQL: dict[str, str] = {}
