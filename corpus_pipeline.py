@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import langid, mixing, packing, secrets, simhash
+from lamina.llm import langid, mixing, packing, secrets, similar
 from lamina.llm.common import read, remove, scratch
 
 
@@ -18,8 +18,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group of near-duplicates (operator 5)."""
-    return simhash.keep_first(docs)
+    """Keeps one document, that with the smallest doc_id, of each group of near-duplicates (operator 5).
+
+    Texts are near-duplicates at a similarity of 0.8 or more in five-word shingles.
+    """
+    return similar.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

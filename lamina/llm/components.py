@@ -1,8 +1,9 @@
 """Connected components by alternating star contractions, as joins and minima only.
 
 No node's neighbours are ever gathered: a star step joins each edge with the least
-neighbour of its end, a minimum that is combined before the shuffle, and the optimizer
-may split the join where a node has very many edges.
+neighbour of its end, a minimum that is combined before the shuffle. The minima are dealt
+anew before the join (the rebalance hint), so that both sides of it are plain exchanges
+and the optimizer may split it where a node has very many edges.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from lamina.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Joins each neighbour that is greater than a node to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("rebalance")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Joins each node and its lesser neighbours to the least of them. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
     lesser = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lesser.union(least.select("u", F.col("m").alias("v"))).distinct()
 

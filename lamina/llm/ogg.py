@@ -84,7 +84,7 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE, serials: tuple[int
     """A physical stream: a head packet in each logical stream, then frames of ``payload`` dealt to them in turn."""
     streams = [Writer(s) for s in serials]
     for i, stream in enumerate(streams):
-        stream.packet(b"lamina8b" + struct.pack("<IHHH", rate, frame, i, len(serials)), 0)
+        stream.packet(b"lamina8b" + struct.pack("<IIHH", rate, frame, i, len(serials)), 0)
         stream.flush()
     done = [0] * len(streams)
     for n, at in enumerate(range(0, len(payload), frame)):
@@ -176,7 +176,7 @@ def unmux(data: bytes) -> tuple[bytes, dict[int, Stream], int]:
     for serial, stream in streams.items():
         if not stream.packets or stream.packets[0][:8] != b"lamina8b":
             raise OggError(f"stream {serial} has no head packet")
-        rate, _, place, many = struct.unpack("<IHHH", stream.packets[0][8:])
+        rate, _, place, many = struct.unpack("<IIHH", stream.packets[0][8:])
         heads[place] = serial
     if len(heads) != many or len(streams) != many:
         raise OggError("a logical stream is missing")

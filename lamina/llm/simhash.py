@@ -25,24 +25,31 @@ from lamina.llm.components import roots
 RADIUS, SHINGLE, BLOCKS, CHOSEN, BUSY = 2, 3, 5, 3, 32
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a UTF-8 text; 0 without words.
-
-    A-Z are lower-cased; a bit is set if it is set in over half of the shingles' XXH64
-    (seed 42), repeats included. Fewer words than ``shingle`` make one shingle.
-    """
+def hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles in turn, A-Z lower-cased; fewer words than ``shingle`` make one, no words none."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    ones, block = np.zeros(64, np.int64), np.fromiter((digest(g, 42) for g in grams), "<u8", n)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(block[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, 42) for g in grams), "<u8", max(1, len(words) - shingle + 1))
+
+
+def majority(bits: np.ndarray) -> int:
+    """The 64-bit number whose bits are set where over half of the numbers have them set; 0 of none."""
+    n, ones = len(bits), np.zeros(64, np.int64)
+    for begin in range(0, n, 1 << 16):
+        some = np.unpackbits(bits[begin : begin + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
+        for at in range(0, len(some), 255):  # as many as a byte can count
+            ones += np.add.reduce(some[at : at + 255], axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a UTF-8 text: the majority of its shingles' hashes, repeats included; 0 without words."""
+    return majority(hashes(raw, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[Column] | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as signed long) and the columns ``keep``: one row a document, without a shuffle."""
     chosen = docs.select("doc_id", *(keep or []), F.col("text").alias("text"))
@@ -115,15 +122,24 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows with that doc_id one stays: by fingerprint, then by a hash of the text;
     null ids come last.
     """
-    key, mark = fresh(docs, "_key", "_mark")
     hashed = F.xxhash64("text").alias("mark")
     rows = cut(fingerprints(docs, keep=[hashed]))
     named = rows.join(classes(rows), "fp")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # the least of (id, fp, mark), nulls last: combined before the shuffle, one row a group
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("mark"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    kept = named.groupBy(group.alias("g")).agg(F.min_by(F.struct(name.alias("k"), F.col("mark").alias("m")), order).alias("_"))
-    kept = kept.select(F.col("_.k").alias(key), F.col("_.m").alias(mark)).distinct()
-    found = docs.withColumn(key, name).withColumn(mark, F.xxhash64("text")).join(kept, [key, mark], "left_semi")
+    kept = named.groupBy(group.alias("g")).agg(F.min_by(F.struct(id_name().alias("name"), "mark"), order).alias("_"))
+    return only(docs, kept.select("_.name", "_.mark"))
+
+
+def id_name() -> Column:
+    """doc_id as text, null too."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``kept`` (name of the id, mark: XXH64 of the text) has; one of equal ones."""
+    key, mark = fresh(docs, "_key", "_mark")
+    kept = kept.select(F.col("name").alias(key), F.col("mark").alias(mark)).distinct()
+    found = docs.withColumn(key, id_name()).withColumn(mark, F.xxhash64("text")).join(kept, [key, mark], "left_semi")
     return found.dropDuplicates([key, mark]).select(*docs.columns)

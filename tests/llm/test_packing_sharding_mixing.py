@@ -152,7 +152,7 @@ def water_fill(sizes: dict, weights, budget, epochs) -> dict:
 
 def mix_rows(n=700, sources=("a", "b", "c", "d", None)):
     rng = random.Random(9)
-    return [(i, prose(i, rng.randint(0, 60)), None, rng.choices(sources, [50, 5, 1, 20, 3])[0], 0) for i in range(n)]
+    return [(1000 + i, prose(i, rng.randint(0, 60)), None, rng.choices(sources, [50, 5, 1, 20, 3])[0], 0) for i in range(n)]
 
 
 def test_targets_and_takes(spark):
