@@ -1,0 +1,219 @@
+"""Operator 5: fingerprints, links and components against brute force; similarity against exact Jaccard; odd rows."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from llm_helpers import as_list, documents, edge_rows, prose
+
+from lamina.llm import components, similar, simhash
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute_fingerprint(text: str | None, shingle: int = 3) -> int:
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    words = WORD.findall(raw)
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(nodes: dict, linked) -> dict:
+    """{key: smallest value reachable}; nodes: key to value."""
+    root = {k: k for k in nodes}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    keys = list(nodes)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if linked(a, b):
+                root[find(a)] = find(b)
+    least = {}
+    for k, v in nodes.items():
+        r = find(k)
+        least[r] = min(least.get(r, v), v)
+    return {k: least[find(k)] for k in nodes}
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "One two", "one TWO three", "A b C d e f g h", "é É ß 東 京 x y", "tab\tand\x0bvt\x0c ff", "nbsp here em", "a a a a a a"])
+def test_fingerprint_brute_force(text):
+    assert simhash.fingerprint((text or "").encode()) == brute_fingerprint(text)
+
+
+def test_long_fingerprint():
+    text = prose(3, 70_000)
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def near_texts(seed: int, n: int) -> list[str]:
+    """Long texts with few changes, so that fingerprints lie close, and unrelated ones."""
+    rng = random.Random(seed)
+    out = []
+    for base in range(4):
+        words = prose(seed * 10 + base, 500).split()
+        for _ in range(n // 5):
+            copy = list(words)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(500)] = f"changed{rng.randrange(999)}"
+            out.append(" ".join(copy))
+    return out + [prose(seed * 1000 + i, rng.randint(1, 40)) for i in range(n - len(out))]
+
+
+@pytest.mark.parametrize("busy", [simhash.BUSY, 1])
+def test_components_brute_force(spark, monkeypatch, busy):
+    """Also where every shared block counts as busy and is linked by centres."""
+    monkeypatch.setattr(simhash, "BUSY", busy)
+    rows = [(900 - i, t, None, None, 0) for i, t in enumerate(near_texts(7, 150))] + [(2000, "", None, None, 0), (2001, None, None, None, 0), (2002, "\n", None, None, 0)]
+    prints = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    want = brute_components({d: d for d in prints}, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = simhash.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == {d: f"{f:016x}" for d, f in prints.items()}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 1 < len(set(want.values())) < len(rows)
+    assert {r.doc_id for r in simhash.keep_first(documents(spark, rows)).collect()} == set(want.values())
+
+
+def test_links_reach_all_pairs_within_the_radius(spark, monkeypatch):
+    """Random fingerprints with neighbours at 0 to 4 bits, the sign bit among them."""
+    rng = random.Random(1)
+    fps = set()
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(6):
+            f = base
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                f ^= 1 << b
+            fps.add(f)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    want = brute_components({f: f for (f,) in signed}, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
+    for busy in (32, 1):
+        monkeypatch.setattr(simhash, "BUSY", busy)
+        found = components.roots(simhash.links(spark.createDataFrame(signed, "fp long")))
+        got = dict.fromkeys(want) | {r.node: r.root for r in found.collect()}
+        assert {k: k if v is None else v for k, v in got.items()} == want
+
+
+def test_roots_brute_force(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(7, 7), (500, 400), (400, 500)] + [(1000, 1001 + i) for i in range(200)]
+    nodes = {n: n for e in edges for n in e if e[0] != e[1]}
+    there = {frozenset(e) for e in edges}
+    want = brute_components(nodes, lambda a, b: frozenset((a, b)) in there)
+    assert {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+    assert components.roots(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_near_duplicates_odd_rows(spark):
+    plain = as_list(simhash.near_duplicates(documents(spark)))
+    assert len(plain) == len(edge_rows())
+    by_id = {r[0]: r for r in plain}
+    assert by_id[8][2] == by_id[9][2] == 8 and by_id[2][2] == by_id[3][2] == by_id[4][2] == 2 and by_id[2][1] == "0" * 16
+    assert as_list(simhash.near_duplicates(documents(spark, clash=True))) == plain
+    assert simhash.near_duplicates(documents(spark, [])).collect() == []
+    lone = simhash.near_duplicates(documents(spark, [(None, "only this", None, None, None)])).collect()
+    assert [tuple(r)[::2] for r in lone] == [(None, None)]
+
+
+# ---- by similarity
+
+
+def shingles(text: str | None) -> frozenset:
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(seed: int, base: str, share: float) -> str:
+    rng = random.Random(seed)
+    return " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base.split())
+
+
+def test_radius():
+    assert [similar.radius(s, 1024, 0) for s in (1.0, 0.8, 0.0)] == [0, 155, 512]
+    rng = np.random.default_rng(1)
+    common, own = rng.integers(0, 2**64, 800, dtype=np.uint64), rng.integers(0, 2**64, 200, dtype=np.uint64)
+    for h, close in ((common, True), (own, False)):
+        a, b = (simhash.majority(np.concatenate([common[:700], x])) for x in (common[700:], own[:20] if close else own))
+        assert (a ^ b).bit_count() < 24
+
+
+def test_sketches_tell_similarity():
+    base = prose(5, 400)
+    a = similar.sketch(base.encode())
+    assert similar.sketch(f"  {base.upper()}\n".encode())[0] == a[0]
+    for seed, share in enumerate((0.005, 0.01, 0.02, 0.04, 0.1, 0.3)):
+        other = edited(seed, base, share)
+        b = similar.sketch(other.encode())
+        distance = sum(int(x ^ y).bit_count() for x, y in zip(a[1], b[1]))
+        s = jaccard(shingles(base), shingles(other))
+        expected = 1024 * np.arccos(2 * s / (1 + s)) / np.pi
+        assert abs(distance - expected) < 50
+        assert (distance <= similar.radius()) == (s > 0.77) or 0.7 < s < 0.82
+    monkey = similar._MANY
+    try:
+        similar._MANY = 50
+        again = similar.sketch(base.encode())
+    finally:
+        similar._MANY = monkey
+    assert again[0] == a[0] and np.array_equal(again[1], a[1]) and np.array_equal(again[2], a[2])
+    assert similar.sketch(b"")[1].tolist() == [0] * similar.WIDTH
+
+
+@pytest.mark.parametrize("busy", [similar.BUSY, 2])
+def test_similar_texts_are_grouped_and_others_left(spark, monkeypatch, busy):
+    monkeypatch.setattr(similar, "BUSY", busy)
+    texts, clean = [], []
+    for g in range(12):
+        base = prose(100 + g, 60 + 40 * g)
+        texts += [base] + [edited(g * 10 + k, base, 0.01) for k in range(4)]
+    passage = prose(999, 60)
+    clean = [prose(500 + i, 150) + " " + (passage if i % 2 else "") for i in range(40)]
+    rows = [(i, t, None, "a", 0) for i, t in enumerate(texts + clean)]
+    sets = [shingles(t) for t in texts + clean]
+    got = {r.doc_id: r.component_id for r in similar.similar(documents(spark, rows)).collect()}
+    sure = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(sure) > 30 and all(got[i] == got[j] for i, j in sure)
+    assert all(got[i] == i for i in range(len(texts), len(rows)))
+    loose = brute_components(dict.fromkeys(range(len(rows))) | {i: i for i in range(len(rows))}, lambda a, b: jaccard(sets[a], sets[b]) >= 0.6)
+    assert all(loose[i] == loose[got[i]] for i in got)
+    kept = similar.keep_first(documents(spark, rows, clash=True))
+    assert kept.columns == documents(spark, clash=True).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    base = prose(42, 200)
+    rows = [(i, edited(i, base, 0.02), None, "a", 0) for i in range(600)]
+    got = {r.doc_id: r.component_id for r in similar.similar(documents(spark, rows)).collect()}
+    sizes = defaultdict(int)
+    for c in got.values():
+        sizes[c] += 1
+    sets = [shingles(r[1]) for r in rows]
+    within = sum(any(jaccard(sets[i], sets[j]) >= 0.8 for j in range(600) if j != i) for i in range(600))
+    assert max(sizes.values()) >= 0.98 * within
+
+
+def test_similar_odd_rows(spark):
+    plain = as_list(similar.similar(documents(spark)))
+    assert len(plain) == len(edge_rows())
+    assert dict(plain)[9] == 8 and dict(plain)[4] == dict(plain)[3] == dict(plain)[2] == 2
+    assert as_list(similar.similar(documents(spark, clash=True))) == plain
+    assert similar.similar(documents(spark, [])).collect() == [] and similar.keep_first(documents(spark, [])).collect() == []
+    kept = [(r.doc_id, r.text) for r in similar.keep_first(documents(spark)).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 2, 5, 6, 7, 8, 10] and (None, "no id at all") in kept and len(kept) == 8
