@@ -1,0 +1,51 @@
+"""The driver's entry point, and modules for workers that cannot import them."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+import __spark_entry__
+from lamina.shipping import ROOT
+
+
+def test_entry_and_names(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_workers_get_the_modules(tmp_path):
+    """A session started elsewhere, without PYTHONPATH."""
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        textwrap.dedent(f"""
+            import sys
+            sys.path.insert(0, {ROOT!r})
+            from pyspark.sql import SparkSession
+            from lamina.shipping import ship
+            spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+            assert ship(spark.sparkContext) and not ship(spark.sparkContext)
+
+            def run(batches):
+                import lamina.functions.types
+                yield from batches
+
+            assert spark.range(3).mapInArrow(run, "id long").count() == 3
+            print("shipped")
+        """)
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert done.stdout.strip().endswith("shipped"), done.stderr[-2000:]
+
+
+def test_without_the_llm_folders(tmp_path):
+    """The rest imports without the training-data subpackage."""
+    import shutil
+
+    shutil.copytree(os.path.join(ROOT, "lamina"), tmp_path / "lamina", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1') for n in e.queries()))"
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert done.stdout.split() == [str(len(__import__("lamina.catalogue").catalogue.QUERIES)), "False"], done.stderr[-2000:]
