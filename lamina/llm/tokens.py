@@ -9,7 +9,6 @@ document in the index and decompresses only the frames it lies in.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,9 @@ from lamina.llm.common import cut, remove, scratch, slices, texts
 VOCABULARY, END_ID, FRAME_BYTES, LEVEL, KNOWN_WORDS = "word_bpe_49k.json", 2, 1 << 18, 3, 1_000_000
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC, SEEK_FOOT = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, struct.Struct("<IBI")
 #: Words of letters that are one code point in NFC, in either case.
-PLAIN = re.compile(r"[a-zà-öø-þÀ-ÖØ-Þß]+")
+PLAIN = "[a-zà-öø-þÀ-ÖØ-Þß]+"
+#: A letter of those or a digit before a last stop or comma.
+TAILED = "[a-zà-öø-þÀ-ÖØ-ÞßA-Z0-9][.,]$"
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("tokens", "<u8")])
 
 
@@ -64,24 +65,18 @@ class Encoder:
         letters are one piece each, whose last id alone ends a word: they go to the
         library many at a time, and the ids are cut there.
         """
-        known, tails, plain, other = self.known, [], {}, {}
-        for word in words:
-            stem = word[:-1]
-            if word[-1:] in (".", ",") and stem and (stem[-1].isascii() and stem[-1].isalnum() or PLAIN.fullmatch(stem[-1])):
-                tails.append((word, stem))
-                word = stem
-                for mark in (".", ","):
-                    if mark not in known:
-                        other[mark] = None
-            if word not in known:
-                (plain if PLAIN.fullmatch(word) else other)[word] = None
-        names = list(plain)
+        known, array = self.known, pa.array(words, pa.string())
+        tailed = pc.match_substring_regex(array, TAILED).to_pylist()
+        stems = [w[:-1] if t else w for w, t in zip(words, tailed)]
+        new = list(dict.fromkeys(w for w in [*stems, ".", ","] if w not in known))
+        whole = pc.match_substring_regex(pa.array(new, pa.string()), f"^{PLAIN}$").to_pylist()
+        names, other = [w for w, p in zip(new, whole) if p], [w for w, p in zip(new, whole) if not p]
         for begin in range(0, len(names), 2048):
             some = names[begin : begin + 2048]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
-                other.update(dict.fromkeys(some))
+                other += some
                 continue
             raw, at = ids.tobytes(), 0
             for name, end in zip(some, (4 * cuts).tolist()):
@@ -89,8 +84,9 @@ class Encoder:
                 at = end
         for name in other:
             known[name] = self.library(name).tobytes()
-        for word, stem in tails:
-            known[word] = known[stem] + known[word[-1]]
+        for word, stem in zip(words, stems):
+            if word is not stem:
+                known[word] = known[stem] + known[word[-1]]
 
     def __call__(self, raws: list[bytes], end: int = END_ID) -> list[bytes]:
         """The ids of each text and ``end``, as little-endian unsigned 32-bit numbers."""
@@ -98,7 +94,7 @@ class Encoder:
         array = pa.array([b"" if i in special else raw for i, raw in enumerate(raws)], pa.large_binary()).cast(pa.large_string())
         words = pc.ascii_split_whitespace(pc.ascii_lower(array))
         coded = words.flatten().dictionary_encode()
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > self.limit:
             self.known = {"": b""}
         values = list(map(self.known.get, names))
