@@ -16,6 +16,9 @@ class Config:
     compression: str = "zstd"
     merge_below: int = 30
     merge_seconds: float = 1.0
+    host: str = "127.0.0.1"
+    port: int = 8123
+    max_connections: int = 100
 
     @classmethod
     def load(cls, path: str | None = None) -> Config:
