@@ -13,7 +13,7 @@ from lamina.llm.common import read, remove, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language (operator 3): texts that are null or have no letter."""
+    """Drops documents in no known language (operator 3): no letters, or no nearer to any prototype than by chance."""
     return langid.keep_known(docs, train=langid.training_rows(read(spark, sf_dir, "documents")))
 
 

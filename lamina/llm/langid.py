@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import fresh, slices, texts
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 7, "und"
+#: Cosines of unlike vectors have the standard deviation 1 / sqrt(DIMENSIONS): a text below two of them is in no learned language.
+LEAST_SCORE = 2 / DIMENSIONS**0.5
 PIECE, CELLS, POSITIONS = 1 << 20, 1 << 22, 3 << 19
 TOP, ROWS = 0x110000, 512
 
@@ -203,10 +205,12 @@ def languages(docs: DataFrame, train: DataFrame | None = None, dimensions: int =
     return chosen.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.0, train: DataFrame | None = None) -> DataFrame:
+def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE, train: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language with at least ``least_score``.
 
-    Texts that are null or have no letter go; all others stay at the default.
+    Texts that are null or have no letter go, and at the default those in other scripts
+    or languages and random letters, whose n-grams are as far from every prototype as
+    chance would have it. With 0 only texts without letters go.
     """
     profiles = fit(training_rows(docs) if train is None else train)
     (mark,) = fresh(docs, "_known")

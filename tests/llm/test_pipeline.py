@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA
 from llm_helpers import documents, edge_rows, prose
 
-from lamina.llm import secrets
+from lamina.llm import langid, secrets
 from lamina.llm.common import read
 
 
@@ -19,6 +19,7 @@ def sf_dir(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('tables')}"
     told = ["password = hunter2hunter2", "key AKIA" + "Z9" * 10, "hex " + "0a1b" * 8, "see Zx9Qw3Lk8Vb2Nm5Rt7Yp1"]
     rows = [(10_000 + i, f"{prose(i, 40)} {told[i % 4]} {prose(99 + i, 40)}", "en", "src0", 0) for i in range(12)]
+    rows += [(20_000, "Привет мир это русский текст о погоде", None, "src1", 0), (20_001, "2026 - 11 - 25", None, "src1", 0)]
     read(spark, f"{DATA}/sf0.001", "documents").union(documents(spark, rows)).write.parquet(f"{path}/documents.parquet")
     return path
 
@@ -42,9 +43,12 @@ def test_all_but_the_last_return_documents(stages):
         assert stages[name].dtypes == stages["documents"].dtypes
 
 
-def test_language_keeps_what_has_letters(stages):
-    want = {r.doc_id for r in stages["documents"].collect() if any(c.isalpha() for c in r.text or "")}
-    assert {r.doc_id for r in stages["language"].collect()} == want
+def test_language_keeps_known_languages(stages):
+    said = langid.languages(stages["documents"]).collect()
+    kept = {r.doc_id for r in stages["language"].collect()}
+    assert kept == {r.doc_id for r in said if r.lang_pred != "und" and r.score >= langid.LEAST_SCORE}
+    gone = [r for r in stages["documents"].collect() if r.doc_id not in kept]
+    assert {r.doc_id for r in gone} >= {20_000, 20_001} and all(r.doc_id >= 20_000 or len(r.text) < 40 for r in gone)
 
 
 def shingles(text: str) -> frozenset:

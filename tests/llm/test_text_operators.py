@@ -59,6 +59,18 @@ def test_held_out_languages_are_not_learned(spark):
     assert as_list(langid.languages(changed)) == as_list(langid.languages(docs))
 
 
+FOREIGN = ["αβγ δεζ ηθι κλμ νξο " * 20, "Привет мир это русский текст о погоде и людях", "日本語のテキストです。今日は天気がいい。", "zxqj kqwx vzzk qqjx " * 10, "12 34 !", ""]
+
+
+def test_other_languages_go_and_prose_stays(spark):
+    docs = read(spark, f"{DATA}/sf0.01", "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    more = documents(spark, [(5000 + i, t, None, "a", 0) for i, t in enumerate(FOREIGN)])
+    kept = {r.doc_id for r in langid.keep_known(docs.union(more), train=langid.training_rows(docs)).collect()}
+    assert not kept & set(range(5000, 6000))
+    gone = [r.text for r in docs.collect() if r.doc_id not in kept]
+    assert len(gone) <= 5 and all(len(t) < 40 for t in gone)
+
+
 def test_language_odd_rows(spark):
     plain = as_list(langid.languages(documents(spark)))
     assert len(plain) == len(edge_rows())
@@ -67,7 +79,7 @@ def test_language_odd_rows(spark):
     assert langid.languages(documents(spark, [])).collect() == []
     nothing = documents(spark, [(1, "words", None, None, None)])
     assert [tuple(r)[2:] for r in langid.languages(nothing).collect()] == [("und", 0.0)]
-    kept = langid.keep_known(documents(spark, clash=True))
+    kept = langid.keep_known(documents(spark, clash=True), least_score=0)
     assert kept.columns == documents(spark, clash=True).columns
     assert {r.doc_id for r in kept.collect()} == {1, 5, 6, 7, 8, 9, None}
 
