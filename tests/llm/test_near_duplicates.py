@@ -217,3 +217,23 @@ def test_similar_odd_rows(spark):
     assert similar.similar(documents(spark, [])).collect() == [] and similar.keep_first(documents(spark, [])).collect() == []
     kept = [(r.doc_id, r.text) for r in similar.keep_first(documents(spark)).collect()]
     assert sorted(i for i, _ in kept if i is not None) == [1, 2, 5, 6, 7, 8, 10] and (None, "no id at all") in kept and len(kept) == 8
+
+
+def grouped(spark, texts: list[str]) -> dict[int, int]:
+    return {r.doc_id: r.component_id for r in similar.similar(documents(spark, [(i, t, None, "a", 0) for i, t in enumerate(texts)])).collect()}
+
+
+def test_copies_that_only_their_original_joins_are_one_group(spark):
+    """1000 copies with 6 changes each, at 0.8 or more of the original and about 0.65 of one another."""
+    base = prose(77, 304).split()
+    texts = []
+    for i in range(1000):
+        rng, copy = random.Random(i), list(base)
+        for at in range(6):
+            copy[20 + 48 * at + rng.randrange(30)] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    whole, sets = shingles(texts[-1]), [shingles(t) for t in texts[:-1]]
+    assert all(jaccard(whole, s) >= 0.8 for s in sets) and all(jaccard(a, b) < 0.8 for a, b in zip(sets, sets[1:]))
+    got = list(grouped(spark, texts).values())
+    assert max(map(got.count, set(got))) >= 0.99 * len(texts)  # blocks find 0.998 of the pairs
