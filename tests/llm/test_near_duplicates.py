@@ -237,3 +237,16 @@ def test_copies_that_only_their_original_joins_are_one_group(spark):
     assert all(jaccard(whole, s) >= 0.8 for s in sets) and all(jaccard(a, b) < 0.8 for a, b in zip(sets, sets[1:]))
     got = list(grouped(spark, texts).values())
     assert max(map(got.count, set(got))) >= 0.99 * len(texts)  # blocks find 0.998 of the pairs
+
+
+def test_short_texts_are_compared_exactly(spark):
+    """Texts of 4 to 40 shingles and the same with one word more or less: at 0.8 or more, from 4 of 5 on."""
+    texts, want = [], {}
+    for i in range(120):
+        words = [f"w{i}x{j}" for j in range(8 + i % 37)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    texts += ["a b c d e f g", "a b c d e f g h"]  # 3 of 4
+    n = len(texts)
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) == 0.8
+    assert grouped(spark, texts) == want | {n - 2: n - 2, n - 1: n - 1}
