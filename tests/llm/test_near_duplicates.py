@@ -250,3 +250,17 @@ def test_short_texts_are_compared_exactly(spark):
     n = len(texts)
     assert jaccard(shingles(texts[0]), shingles(texts[1])) == 0.8
     assert grouped(spark, texts) == want | {n - 2: n - 2, n - 1: n - 1}
+
+
+def test_pairs_are_verified_exactly(spark):
+    """Pairs just below the threshold are left, though their fingerprints are as near as those of pairs above it."""
+    texts, want = [], {}
+    for i in range(60):
+        words = prose(3000 + i, 204).split()
+        new = words[: 204 - (24 if i % 2 else 20)] + [f"n{i}x{j}" for j in range(24 if i % 2 else 20)]
+        same = jaccard(shingles(" ".join(words)), shingles(" ".join(new)))
+        texts += [" ".join(words), " ".join(new)]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if same >= 0.8 else 2 * i + 1}
+    assert len(set(want.values())) == 90
+    got = grouped(spark, texts)
+    assert all(got[i] == i for i in want if want[i] == i) and sum(got[i] == want[i] for i in want) >= len(want) - 1
