@@ -24,15 +24,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs that may be keys: 16 or more of the characters of keys, with a digit among them.
+#: Runs that may be keys: 16 or more of the characters of keys. Their pieces lie between separators.
+LEAST, PIECE = 16, re.compile(r"[A-Za-z0-9]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Digests of the usual lengths, UUIDs, plain numbers, and names joined of words.
+#: Digests of the usual lengths, UUIDs and plain numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9+-]+"
-    r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-    r"|[A-Za-z]+(?:[_/=-]+(?:[A-Za-z]+|[0-9]+))*)"
+    r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})"
 )
+#: The same for one piece of a longer run; UUIDs in one; and names joined of words, short ones too, which only their pieces tell from keys.
+KNOWN_PIECE = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
+NAMES = re.compile(r"[A-Za-z]+(?:[_/=-]+(?:[A-Za-z]+|[0-9]+))*")
 VOCABULARY, MAX_RATIO = "byte_bpe_50k.tiktoken", 2.2
 
 
@@ -57,15 +61,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _keys_within(run: str, vocabulary: str, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of ``run``, from separator to separator, that may be keys.
+
+    A part begins and ends with a piece of at most ``max_ratio`` characters a token.
+    Between those may lie pieces of fewer than 4 characters, which tell nothing alone;
+    words, numbers and known digests end a part.
+    """
+    count = lambda text: len(encoding(vocabulary).encode_ordinary(text))
+    known = [m.span() for m in UUID.finditer(run)]
+    found, begin, end = [], None, None
+    for m in PIECE.finditer(run):
+        piece, at = m.group(), m.start()
+        if any(a <= at < b for a, b in known) or piece.isdigit() and len(piece) > 3:
+            begin = None
+        elif len(piece) > 3:
+            if not KNOWN_PIECE.fullmatch(piece) and len(piece) <= max_ratio * count(piece):
+                if begin is None:
+                    begin = at
+                    found.append((begin, m.end()))
+                found[-1] = (begin, m.end())
+            else:
+                begin = None
+    return [(a, b) for a, b in found if b - a >= LEAST and b - a <= max_ratio * count(run[a:b])]
+
+
 def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    """Candidate runs with at most ``max_ratio`` characters a token, but for known digests and identifiers."""
+    """Candidate runs, or else parts of them between separators, with at most ``max_ratio`` characters a token, but for known digests and identifiers."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if run.isalpha() or not any(c.isdigit() for c in run) or KNOWN.fullmatch(run):
+        if run.isalpha() or KNOWN.fullmatch(run):
             continue
-        if len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run)):
+        if any(c.isdigit() for c in run) and not NAMES.fullmatch(run) and len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))
+        else:
+            found += [(m.start() + a, m.start() + b, "random") for a, b in _keys_within(run, vocabulary, max_ratio)]
     return found
 
 

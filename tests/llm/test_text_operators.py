@@ -182,6 +182,22 @@ def test_random_strings_are_found_and_known_ones_left():
         assert found(f"see {known} there") == []
 
 
+def random_key(seed: int, n: int, digits: str = "0123456789") -> str:
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + digits) for _ in range(n))
+
+
+def test_keys_joined_to_words_are_found():
+    path = "/home/deploy/projects/customer-service/configuration/production/credentials/"
+    for i in range(100):
+        key = random_key(i, 24)
+        for before, after in ((path, ""), ("https://example.com/production/customer-service/settings/", ""), ("customer_service_production_key=", "/configuration/production")):
+            at = [(a, b) for a, b, _ in secrets.random_spans(before + key + after)]
+            assert at and at[0][0] <= len(before) and at[0][1] >= len(before + key)
+    for known in (f"{path}123e4567-e89b-12d3-a456-426614174000", f"{path}2026/11/25/how-to-do-it-in-a-day"):
+        assert secrets.random_spans(known) == []
+
+
 def test_secrets_brute_force(spark):
     docs = read(spark, f"{DATA}/sf0.001", "documents").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
     want = []
