@@ -91,7 +91,7 @@ def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if run.isalpha() or KNOWN.fullmatch(run):
+        if KNOWN.fullmatch(run):
             continue
         if any(c.isdigit() for c in run) and not NAMES.fullmatch(run) and len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))

@@ -198,6 +198,13 @@ def test_keys_joined_to_words_are_found():
         assert secrets.random_spans(known) == []
 
 
+def test_random_letters_without_digits_are_found():
+    for i in range(100):
+        for n in (16, 20, 32):
+            key = random_key(i, n, "")
+            assert secrets.random_spans(f"key {key} here") == [(4, 4 + n, "random")]
+
+
 def test_secrets_brute_force(spark):
     docs = read(spark, f"{DATA}/sf0.001", "documents").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
     want = []
