@@ -1,31 +1,35 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples lie in an inverted index whose postings are cut into blocks of examples, each
-with its greatest weight. A text's blocks are visited by falling upper bound until no
-block left can reach its k-th nearest example, so the nearest examples are exact. Their
-votes, weighted by closeness, become a probability by a logistic curve fitted on the
-examples themselves, each left out of its own vote.
+All terms of the examples count. Examples lie in an inverted index whose postings are cut
+into blocks of examples, each with its greatest weight; blocks whose bound is below the
+k-th nearest found so far are not read, so the nearest examples are exact. Their votes,
+weighted by closeness, become a probability by a logistic curve fitted on the examples
+themselves, each left out of its own vote together with its near copies.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, slices, texts
+from lamina.llm.common import cut, slices
 
-#: Bounds of what is fitted, whatever the size of the corpus: labelled examples, terms.
-MAX_EXAMPLES, MAX_TERMS = 8192, 2048
-NEIGHBOURS, BLOCK, PRIOR, LEAST_DF, LEAST_LIFT, LEAST_GAIN = 16, 64, 0.5, 3, 5.0, 14.0
+#: Bounds of what is fitted, whatever the size of the corpus: labelled examples, and terms of all examples together.
+MAX_EXAMPLES, MAX_POSTINGS = 4096, 4_000_000
+#: Examples that vote, examples of a block, share of the examples from which on a term's postings are one dense row.
+NEIGHBOURS, BLOCK, DENSE = 32, 64, 0.1
+#: Cosine from which on examples are near copies; association (G squared) that one in 100,000 terms reaches by chance.
+COPY, CHANCE, PRIOR = 0.8, 20.0, 1e-3
 PREFIXES = (4, 5, 6)
-WORDS = re.compile(r"[^\W\d_]+")
+NO_LETTERS = r"[^\pL]+"
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def terms_of(word: str) -> list[str]:
@@ -33,6 +37,12 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def words(column: pa.Array) -> pa.ListArray:
+    """The runs of letters of each text, in lower case, and empty strings between others; null as an empty text."""
+    plain = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(plain, NO_LETTERS, " "))
+
+
 def learnable(docs: Column) -> Column:
     """Whether a row's label may be learned: crc32 of doc_id as text leaves a remainder by 5 other than 0."""
     return F.pmod(F.crc32(F.coalesce(docs.cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0
@@ -41,173 +51,216 @@ def learnable(docs: Column) -> Column:
 def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, text, toxic of at most ``most`` labelled documents, chosen by a hash of doc_id among the learnable.
 
-    Near copies count once a label: of examples with one least shingle hash (five words;
-    two hashes in turn) the first by doc_id stays, so that the words of one long text
-    that was copied do not look like words of many.
-
     A document with several labels counts as toxic if one says so; of rows with one
     doc_id, one is taken.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded set: broadcast is safe
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("_")).select("doc_id", "_.text", "_.toxic")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [sketch(raw) for raw in texts(batch)]
-            arrays = [batch.column(c) for c in ("doc_id", "text", "toxic")] + [pa.array([k[i] for k in keys], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "toxic", "k0", "k1"])
-
-    kept = found.mapInArrow(run, f"doc_id {id_type}, text string, toxic int, k0 binary, k1 binary")
-    for key in ("k0", "k1"):
-        first = F.min_by(F.struct("doc_id", "text", "k1"), "doc_id").alias("_")
-        kept = kept.groupBy(key, "toxic").agg(first).select("_.doc_id", "_.text", "toxic", "_.k1")
-    return kept.select("doc_id", "text", "toxic")
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("_")).select("doc_id", "_.text", "_.toxic")
 
 
-def sketch(raw: bytes) -> list[bytes]:
-    """The least of the text's five-word shingles' XXH64 under two seeds."""
-    words = raw.lower().split()
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(5))))) or [b" ".join(words)]
-    return [min(xxhash.xxh64_digest(g, seed) for g in grams) for seed in (1, 2)]
+def _counted(rows: DataFrame, most_postings: int) -> list:
+    """doc_id, toxic, terms and tf of the examples, in the order of their hash, as long as they have ``most_postings`` terms together."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
-
-def choose_terms(rows: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
-    """The terms that tell toxic examples, with their inverse document frequency: at most ``most``.
-
-    A term needs to occur in ``LEAST_DF`` toxic examples and in ``LEAST_LIFT`` times the
-    share of toxic ones than of others, and its count in toxic examples times the
-    logarithm of that ratio to the share expected must reach ``LEAST_GAIN``: words that
-    one long text or one group of copies repeats by chance do not. The best by that gain
-    stay, ties by name.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            found = []
+            for some in words(batch.column("text")).to_pylist():
+                tf: Counter = Counter()
+                for word, n in Counter(filter(None, some)).items():
+                    for term in terms_of(word):
+                        tf[term] += n
+                found.append(tf)
+            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "tf"])
+
+    made = cut(rows.mapInArrow(run, f"doc_id {id_type}, toxic int, terms array<string>, tf array<long>"))
+    order = F.xxhash64("doc_id").alias("h")
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in made.select(order, "doc_id", F.size("terms").alias("n")).collect())
+    fit, total = 0, 0
+    while fit < len(sizes) and total + sizes[fit][2] <= most_postings:
+        total += sizes[fit][2]
+        fit += 1
+    chosen = made if fit == len(sizes) else made.where(F.col("doc_id").isin([i for _, i, _ in sizes[:fit]]))
+    return [r for r in sorted(chosen.select(order, "*").collect(), key=lambda r: (r["h"], r["doc_id"]))]
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all documents have each of ``terms``, and the number of documents.
+
+    A task sends one number a term that it met; the driver gets one a term.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded as the examples are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for raw, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
-                words = set(WORDS.findall(raw.decode().lower()))
-                counts[int(toxic > 0)].update({t for w in words for t in terms_of(w)})
-        for toxic, found in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "toxic", "n"])
-
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return {}
-    counted = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long")
-    df = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    gain = F.col("bad") * F.log(F.col("bad") * F.lit(float(bad + good)) / (F.col("n") * F.lit(float(bad))))
-    best = df.where((F.col("bad") >= LEAST_DF) & (lift >= LEAST_LIFT)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    best = best.orderBy(-F.col("gain"), "term").limit(most).collect()
-    return {r["term"]: float(np.log((1 + bad + good) / (1 + r["n"])) + 1) for r in sorted(best, key=lambda r: r["term"])}
+        vectors, found, rows = Vectors(shared.value, np.ones(len(shared.value)), 1.0), np.zeros(len(shared.value), np.int64), 0
+        for batch in slices(batches, 2000):
+            found += np.bincount(vectors.terms(batch.column("text"))[1], minlength=len(found))
+            rows += batch.num_rows
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(found[at], rows))], ["term", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 class Vectors:
-    """Turns texts into sparse TF-IDF vectors of length 1 over chosen terms."""
-
-    def __init__(self, idf: dict[str, float], limit: int = 500_000) -> None:
-        self.place = {t: i for i, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()))
-        self.limit, self.known = limit, {}
-
-    def _ids(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        self.known[word] = found
-        return found
-
-    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights): (1 + ln tf) * idf, divided by the vector's length. Empty if no chosen term occurs."""
-        known, hits = self.known, []
-        for w in WORDS.findall(raw.decode().lower()):
-            ids = known.get(w)
-            if ids is None:
-                ids = self._ids(w)
-            if ids:
-                hits += ids
-        terms, tf = np.unique(np.array(hits, np.int64), return_counts=True)
-        weights = (1 + np.log(tf)) * self.idf[terms]
-        return terms, weights / np.linalg.norm(weights) if len(terms) else weights
+    """Turns texts into sparse vectors of length 1 over ``terms``, weighed by ``weight``.
+
+    A term beyond those counts in the length only, with the weight ``other``, once a word.
+    """
+
+    def __init__(self, terms: list[str], weight: np.ndarray, other: float) -> None:
+        self.names, self.weight, self.other = pa.array(terms, pa.large_string()), weight, other
+
+    def _ids(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the places of its terms (-1: none), in columns as ``terms_of`` has them, and how many have none."""
+        columns, size, strange = [], pc.utf8_length(some).to_numpy(), np.zeros(len(some), np.int64)
+        for n in (0, *PREFIXES):
+            name = pc.binary_join_element_wise(pc.utf8_slice_codeunits(some, 0, n), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string())) if n else some
+            ids = pc.fill_null(pc.index_in(name, value_set=self.names), -1).to_numpy().astype(np.int64)
+            columns.append(np.where(size > n, ids, -1))
+            strange += (size > n) & (ids < 0)
+        return np.stack(columns), strange
+
+    def terms(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of each distinct known term of each text, by text and term, and the squared length that other terms add."""
+        lists = words(column)
+        coded = lists.flatten().dictionary_encode()
+        ids, strange = self._ids(coded.dictionary)
+        word, text = coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        wide, many = max(1, len(self.weight)), max(1, len(strange))
+        found = ids[:, word]
+        key, times = np.unique((text * wide + found)[found >= 0], return_counts=True)
+        some = strange[word] > 0
+        odd, often = np.unique((text * many + word)[some], return_counts=True)
+        rest = np.bincount(odd // many, weights=strange[odd % many] * (1 + np.log(often)) ** 2, minlength=len(lists)) if len(odd) else np.zeros(len(lists))
+        return key // wide, key % wide, times, rest * self.other**2
+
+    def __call__(self, column: pa.Array) -> list[Vector]:
+        """(terms, weights) of each text: (1 + ln tf) * weight, divided by the vector's length. Empty if no term is known."""
+        text, term, tf, rest = self.terms(column)
+        weights = (1 + np.log(tf)) * self.weight[term]
+        weights /= np.sqrt(np.bincount(text, weights=weights**2, minlength=len(rest)) + rest)[text]
+        edges = np.searchsorted(text, np.arange(len(rest) + 1))
+        return [(term[a:b], weights[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 class BlockMaxIndex:
-    """Postings of examples by term, cut into blocks of ``block`` examples with their greatest weights."""
+    """Postings of examples by term, with the greatest weight of each term in each block of ``block`` examples.
+
+    The postings of a term that a share ``dense`` of the examples has are one dense row.
+    """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, dense: float = DENSE) -> None:
         self.block, self.n = block, len(vectors)
         self.blocks = -(-self.n // block)
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        self.width = self.blocks * block
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        often = np.flatnonzero(np.bincount(terms, minlength=n_terms) > dense * self.n)
+        self.row = np.full(n_terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.often = np.zeros((len(often), self.width), np.float32)
+        there = self.row[terms] >= 0
+        self.often[self.row[terms[there]], owner[there]] = weight[there]
+        terms, owner, weight = terms[~there], owner[~there], weight[~there]
         order = np.lexsort((owner, terms))
-        self.owner, self.weight = owner[order], weight[order]
-        cell = terms[order] * self.blocks + self.owner // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.most = np.zeros((n_terms, self.blocks), np.float32)
+        np.maximum.at(self.most, (terms, owner // block), np.nextafter(weight.astype(np.float32), np.float32(2)))
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, greatest first; ties take the first examples.
+    def nearest(self, queries: list[Vector], k: int, without: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (examples, cosines) of the k nearest with a cosine above 0, greatest first; ties take the first examples.
 
-        ``without`` is left out. Blocks whose bound is below the k-th cosine are not read.
+        The examples ``without`` of each query are left out. Dense rows are scored for the
+        whole batch; the other postings are read only in blocks whose bound reaches the
+        k-th score so far. Cosines have 6 digits.
         """
-        terms, q = vector
-        if not len(terms) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = q @ self.most[terms]
-        visit = np.argsort(-bound, kind="stable")
-        visit = visit[bound[visit] > 0]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for begin in range(0, len(visit), 4):
-            group = visit[begin : begin + 4]
-            if len(best) >= k and bound[group[0]] < cosine[k - 1] - 1e-9:
-                break
-            for b in group:
-                scores = np.zeros(self.block)
-                for t, weight in zip(terms, q):
-                    cell = t * self.blocks + b
-                    some = slice(self.start[cell], self.start[cell + 1])
-                    scores[self.owner[some] - b * self.block] += weight * self.weight[some]
-                at = np.flatnonzero(scores > 0)
-                best, cosine = np.concatenate([best, at + b * self.block]), np.concatenate([cosine, scores[at]])
-            keep = best != without
-            best, cosine = best[keep], cosine[keep].round(12)
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
-        return best, cosine
-
-
-class Scorer:
-    """Votes of the nearest examples, made probabilities. ``curve`` holds slope and offset of the logistic curve."""
-
-    def __init__(self, ids: list, toxic: np.ndarray, vectors: list, idf: dict[str, float], k: int = NEIGHBOURS, curve: tuple[float, float] | None = None) -> None:
-        self.ids, self.toxic, self.k = ids, toxic.astype(float), k
-        self.index = BlockMaxIndex(vectors, len(idf))
-        empty = [not len(t) for t, _ in vectors]
-        #: The share of toxic examples among those with no chosen term, which are all as far from every text.
-        self.base = float((self.toxic[empty].sum() + PRIOR * 0.1) / (sum(empty) + PRIOR)) if len(ids) else 0.0
-        self.curve = curve or (0.0, -10.0)
-        if curve is None and 0 < self.toxic.sum() < len(ids):
-            none = self.vote((np.zeros(0, np.int64), np.zeros(0)))[0]
-            self.curve = logistic(np.array([self.vote(v, i)[0] if len(v[0]) else none for i, v in enumerate(vectors)]), self.toxic)
-
-    def vote(self, vector, without: int = -1) -> tuple[float, np.ndarray]:
-        """The toxic share of the nearest examples, weighted by squared cosine, and the examples."""
-        near, cosine = self.index.nearest(vector, self.k, without)
-        weight = cosine**2
-        return float((weight @ self.toxic[near] + PRIOR * self.base) / (weight.sum() + PRIOR)), near
-
-    def __call__(self, vector) -> tuple[float, list]:
-        vote, near = self.vote(vector)
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        frequent, out = np.zeros((len(queries), len(self.often)), np.float32), []
+        for i, (terms, q) in enumerate(queries):
+            row = self.row[terms]
+            frequent[i, row[row >= 0]] = q[row >= 0]
+        first = frequent @ self.often
+        for i, (terms, q) in enumerate(queries):
+            skip = np.zeros(0, np.int64) if without is None else without[i]
+            score, rare = first[i], self.row[terms] < 0
+            terms, q = terms[rare], q[rare]
+            if len(terms):
+                place = self.width - k - len(skip)
+                floor = np.partition(score, place)[place] if place >= 0 else 0.0
+                bound = score.reshape(self.blocks, self.block).max(axis=1) + q @ self.most[terms]
+                alive = bound >= floor - 2e-6
+                lengths = self.start[terms + 1] - self.start[terms]
+                ends = np.cumsum(lengths)
+                at = np.repeat(self.start[terms] - ends + lengths, lengths) + np.arange(ends[-1])
+                own = self.owner[at]
+                if not alive.all():
+                    read = alive[own // self.block]
+                    at, own, weight = at[read], own[read], np.repeat(q, lengths)[read]
+                else:
+                    weight = np.repeat(q, lengths)
+                score = score + np.bincount(own, weights=weight * self.weight[at], minlength=self.width)
+            score = score.astype(float).round(6)
+            score[skip] = 0
+            least = np.partition(score, self.width - k)[self.width - k] if self.width > k else 0.0
+            some = np.flatnonzero(score >= max(least, 1e-6))
+            some = some[np.lexsort((some, -score[some]))][:k]
+            out.append((some, score[some]))
+        return out
+
+
+@dataclass
+class Model:
+    """What scoring needs: terms with their weights, and the examples with their votes; bounded by the two limits."""
+
+    terms: list[str]
+    weight: np.ndarray
+    other: float
+    ids: list
+    toxic: np.ndarray
+    #: One over the number of an example's near copies, itself included.
+    share: np.ndarray
+    vectors: list[Vector]
+    base: float = 0.0
+    curve: tuple[float, float] = (0.0, -10.0)
+
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        """The toxic share of the nearest examples, weighted by squared cosine; near copies have one vote together."""
+        weight = cosine**2 * self.share[near]
+        return float((weight @ self.toxic[near] + PRIOR * self.base) / (weight.sum() + PRIOR))
+
+    def score(self, vote: float) -> float:
         slope, offset = self.curve
-        return float(1 / (1 + np.exp(-(slope * vote + offset)))), [self.ids[i] for i in near]
+        return float(1 / (1 + np.exp(-(slope * vote + offset))))
+
+
+def association(held: np.ndarray, toxic: np.ndarray, share: np.ndarray, terms: np.ndarray, owner: np.ndarray, n_terms: int) -> np.ndarray:
+    """G squared of each term with label 1 over the examples, near copies counted as one; 0 for terms that tell label 0.
+
+    ``held`` has one True an example; ``terms`` and ``owner`` are its postings.
+    """
+    everything, bad = share[held].sum(), (share * toxic)[held].sum()
+    n = np.bincount(terms, weights=share[owner], minlength=n_terms)
+    a = np.bincount(terms, weights=(share * toxic)[owner], minlength=n_terms)
+    rate = bad / everything if everything else 0.0
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 1e-9, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    rest = everything - n
+    g = part(a, n * rate) + part(n - a, n * (1 - rate)) + part(bad - a, rest * rate) + part(everything - bad - n + a, rest * (1 - rate))
+    return np.where(a > n * rate, 2 * g, 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -227,54 +280,79 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, fl
     return max(0.0, float(a)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, most_terms: int = MAX_TERMS) -> tuple[dict[str, float], list, list, list]:
-    """(idf by term, ids, labels, vectors) of the examples: all that scoring needs, bounded by the two limits."""
-    rows = cut(examples(docs, labels, most_examples))
-    idf = choose_terms(rows, most_terms)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, most_postings: int = MAX_POSTINGS) -> Model:
+    """The model, from at most ``most_examples`` labelled documents with ``most_postings`` terms together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(idf)
-        for batch in batches:
-            found = [vectors(raw) for raw in texts(batch)]
-            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([t.tolist() for t, _ in found], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "weights"])
-
-    # nearby blocks hold alike examples, so that bounds are tight: by the rarest term, then by id
-    made = rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {id_type}, toxic int, terms array<long>, weights array<double>").collect()
-    key = lambda r: (min(r["terms"], key=lambda t: (-weight[t], t), default=-1), r["doc_id"])
-    weight = list(idf.values())
-    made.sort(key=key)
-    vectors = [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in made]
-    return idf, [r["doc_id"] for r in made], [int(r["toxic"] > 0) for r in made], vectors
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, most_terms: int = MAX_TERMS) -> DataFrame:
+    Document frequencies are counted over all of ``docs``. A term weighs its inverse
+    document frequency times 1 + sqrt(G squared - ``CHANCE``) of its association with
+    label 1, where that is positive: no term is left out, those that tell weigh more.
+    """
+    made = _counted(cut(examples(docs, labels, most_examples)), most_postings)
+    terms = sorted({t for r in made for t in r["terms"]})
+    place = {t: i for i, t in enumerate(terms)}
+    df, rows = document_frequencies(docs, terms)
+    idf, other = np.log((1 + rows) / (1 + df)) + 1, float(np.log((1 + rows) / 2) + 1) if rows else 1.0
+    raw = []
+    for r in made:
+        at = np.fromiter((place[t] for t in r["terms"]), np.int64, len(r["terms"]))
+        order = np.argsort(at)
+        raw.append((at[order], 1 + np.log(np.array(r["tf"], float)[order])))
+    # nearby blocks hold alike examples, so that bounds are tight: by which of the most frequent terms they have
+    common = np.argsort(-np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in raw)]), minlength=len(terms)), kind="stable")[:16]
+    has = np.array([np.isin(common, t) for t, _ in raw]).reshape(len(raw), len(common))
+    by = np.lexsort((np.arange(len(raw)), *has.T[::-1]))
+    raw, made = [raw[i] for i in by], [made[i] for i in by]
+
+    def weighed(weight: np.ndarray) -> list[Vector]:
+        return [(t, w * weight[t] / np.linalg.norm(w * weight[t])) if len(t) else (t, w) for t, w in raw]
+
+    toxic = np.array([r["toxic"] for r in made], float)
+    plain, k = weighed(idf), 256
+    copies = [np.arange(0)] * len(raw)
+    index = BlockMaxIndex(plain, len(terms))
+    for begin in range(0, len(raw), k):
+        for i, (near, cosine) in enumerate(index.nearest(plain[begin : begin + k], len(raw)), begin):
+            copies[i] = np.union1d(near[cosine >= COPY], [i]).astype(np.int64)
+    share = 1 / np.array([len(c) for c in copies], float) if raw else np.zeros(0)
+    owner = np.repeat(np.arange(len(raw)), [len(t) for t, _ in raw])
+    told = association(np.ones(len(raw), bool), toxic, share, np.concatenate([np.zeros(0, np.int64), *(t for t, _ in raw)]), owner, len(terms))
+    weight = idf * (1 + np.sqrt(np.maximum(0, told - CHANCE)))
+    model = Model(terms, weight, other, [r["doc_id"] for r in made], toxic, share, weighed(weight))
+    model.base = float(share @ toxic / share.sum()) if raw else 0.0
+    if 0 < toxic.sum() < len(toxic):
+        index, votes = BlockMaxIndex(model.vectors, len(terms)), []
+        for begin in range(0, len(raw), k):
+            votes += [model.vote(*found) for found in index.nearest(model.vectors[begin : begin + k], NEIGHBOURS, copies[begin : begin + k])]
+        model.curve = logistic(np.array(votes), toxic)
+    return model
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, most_postings: int = MAX_POSTINGS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence: one row a document.
 
     score is the probability of label 1, within 0 and 1; predicted is 1 from 0.5 on;
     evidence lists the doc_ids of the nearest labelled examples, nearest first. A text
-    that is null, empty or without any chosen term has no neighbours and gets the score
-    that such examples have. Without labels of both kinds every score is near 0. Repeated
-    rows stay; other columns are ignored. What is fitted is bounded by ``most_examples``
-    and ``most_terms``; every document is scored over its whole text, without a shuffle.
+    that is null, empty or shares no term with any example has no neighbours and gets the
+    score of the examples' toxic share. Without labels of both kinds every score is near
+    0. Repeated rows stay; an empty table gives no rows; other columns are ignored. What
+    is fitted is bounded by ``most_examples`` and ``most_postings``; document frequencies
+    are counted over all documents, and every document is scored over its whole text,
+    without a shuffle of texts.
     """
-    fitted = fit(docs, labels, most_examples, most_terms)
+    model = fit(docs, labels, most_examples, most_postings)
     id_type = docs.schema["doc_id"].dataType
     arrow = pa.int64() if id_type.simpleString() in ("bigint", "int") else None
-    curve = Scorer(fitted[1], np.array(fitted[2]), fitted[3], fitted[0]).curve
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded: examples x terms of each
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: examples and their terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, ids, toxic, examples_ = shared.value
-        vectors, scorer = Vectors(idf), Scorer(ids, np.array(toxic), examples_, idf, curve=curve)
-        none = scorer((np.zeros(0, np.int64), np.zeros(0)))
-        for batch in slices(batches, 4000):
-            found = [vectors(raw) for raw in texts(batch)]
-            rows = [scorer(v) if len(v[0]) else none for v in found]
-            score = pa.array([s for s, _ in rows], pa.float64())
-            predicted = pa.array([int(s >= 0.5) for s, _ in rows], pa.int32())
-            evidence = pa.array([e for _, e in rows], pa.list_(arrow or batch.column("doc_id").type))
+        model = shared.value
+        vectors, index = Vectors(model.terms, model.weight, model.other), BlockMaxIndex(model.vectors, len(model.terms))
+        for batch in slices(batches, 2000):
+            made = vectors(batch.column("text"))
+            found = [one for begin in range(0, len(made), 128) for one in index.nearest(made[begin : begin + 128], NEIGHBOURS)]
+            scores = [model.score(model.vote(near, cosine)) for near, cosine in found]
+            score, predicted = pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())
+            evidence = pa.array([[model.ids[i] for i in near] for near, _ in found], pa.list_(arrow or batch.column("doc_id").type))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), score, predicted, evidence], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     chosen = docs.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "text")
