@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lamina.llm.common import cut, slices
 
 #: Bounds of what is fitted, whatever the size of the corpus: labelled examples, and terms of all examples together.
-MAX_EXAMPLES, MAX_POSTINGS = 4096, 4_000_000
+MAX_EXAMPLES, MAX_POSTINGS = 2048, 2_000_000
 #: Examples that vote, examples of a block, share of the examples from which on a term's postings are one dense row.
-NEIGHBOURS, BLOCK, DENSE = 32, 64, 0.1
+NEIGHBOURS, BLOCK, DENSE = 32, 64, 0.05
 #: Cosine from which on examples are near copies; association (G squared) that one in 100,000 terms reaches by chance.
 COPY, CHANCE, PRIOR = 0.8, 20.0, 1e-3
 PREFIXES = (4, 5, 6)
@@ -61,7 +61,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
     return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("_")).select("doc_id", "_.text", "_.toxic")
 
 
-def _counted(rows: DataFrame, most_postings: int) -> list:
+def _counted(rows: DataFrame, most_postings: int) -> pa.Table:
     """doc_id, toxic, terms and tf of the examples, in the order of their hash, as long as they have ``most_postings`` terms together."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -79,16 +79,13 @@ def _counted(rows: DataFrame, most_postings: int) -> list:
 
     made = cut(rows.mapInArrow(run, f"doc_id {id_type}, toxic int, terms array<string>, tf array<long>"))
     order = F.xxhash64("doc_id").alias("h")
-    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in made.select(order, "doc_id", F.size("terms").alias("n")).collect())
-    fit, total = 0, 0
-    while fit < len(sizes) and total + sizes[fit][2] <= most_postings:
-        total += sizes[fit][2]
-        fit += 1
-    chosen = made if fit == len(sizes) else made.where(F.col("doc_id").isin([i for _, i, _ in sizes[:fit]]))
-    return [r for r in sorted(chosen.select(order, "*").collect(), key=lambda r: (r["h"], r["doc_id"]))]
+    sizes = made.select(order, "doc_id", F.size("terms").alias("n")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    fit = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), most_postings, side="right"))
+    chosen = made if fit == sizes.num_rows else made.where(F.col("doc_id").isin(sizes.column("doc_id").to_pylist()[:fit]))
+    return chosen.select(order, "*").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int]:
     """How many of all documents have each of ``terms``, and the number of documents.
 
     A task sends one number a term that it met; the driver gets one a term.
@@ -116,8 +113,8 @@ class Vectors:
     A term beyond those counts in the length only, with the weight ``other``, once a word.
     """
 
-    def __init__(self, terms: list[str], weight: np.ndarray, other: float) -> None:
-        self.names, self.weight, self.other = pa.array(terms, pa.large_string()), weight, other
+    def __init__(self, terms: pa.Array, weight: np.ndarray, other: float) -> None:
+        self.names, self.weight, self.other = terms.cast(pa.large_string()), weight, other
 
     def _ids(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each word the places of its terms (-1: none), in columns as ``terms_of`` has them, and how many have none."""
@@ -205,7 +202,7 @@ class BlockMaxIndex:
                 ends = np.cumsum(lengths)
                 at = np.repeat(self.start[terms] - ends + lengths, lengths) + np.arange(ends[-1])
                 own = self.owner[at]
-                if not alive.all():
+                if 2 * np.count_nonzero(alive) < len(alive):
                     read = alive[own // self.block]
                     at, own, weight = at[read], own[read], np.repeat(q, lengths)[read]
                 else:
@@ -224,7 +221,7 @@ class BlockMaxIndex:
 class Model:
     """What scoring needs: terms with their weights, and the examples with their votes; bounded by the two limits."""
 
-    terms: list[str]
+    terms: pa.Array
     weight: np.ndarray
     other: float
     ids: list
@@ -288,25 +285,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, m
     label 1, where that is positive: no term is left out, those that tell weigh more.
     """
     made = _counted(cut(examples(docs, labels, most_examples)), most_postings)
-    terms = sorted({t for r in made for t in r["terms"]})
-    place = {t: i for i, t in enumerate(terms)}
+    lists = made.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names = pc.array_sort_indices(coded.dictionary)
+    terms = coded.dictionary.take(names)
+    at = np.argsort(names.to_numpy())[coded.indices.to_numpy()]
     df, rows = document_frequencies(docs, terms)
     idf, other = np.log((1 + rows) / (1 + df)) + 1, float(np.log((1 + rows) / 2) + 1) if rows else 1.0
-    raw = []
-    for r in made:
-        at = np.fromiter((place[t] for t in r["terms"]), np.int64, len(r["terms"]))
-        order = np.argsort(at)
-        raw.append((at[order], 1 + np.log(np.array(r["tf"], float)[order])))
+    edges, times, raw = np.cumsum([0, *pc.list_value_length(lists).to_pylist()]), 1 + np.log(made.column("tf").combine_chunks().flatten().to_numpy()), []
+    for a, b in zip(edges, edges[1:]):
+        order = np.argsort(at[a:b])
+        raw.append((at[a:b][order], times[a:b][order]))
     # nearby blocks hold alike examples, so that bounds are tight: by which of the most frequent terms they have
     common = np.argsort(-np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in raw)]), minlength=len(terms)), kind="stable")[:16]
     has = np.array([np.isin(common, t) for t, _ in raw]).reshape(len(raw), len(common))
     by = np.lexsort((np.arange(len(raw)), *has.T[::-1]))
-    raw, made = [raw[i] for i in by], [made[i] for i in by]
+    raw, made = [raw[i] for i in by], made.select(["doc_id", "toxic"]).take(by)
 
     def weighed(weight: np.ndarray) -> list[Vector]:
         return [(t, w * weight[t] / np.linalg.norm(w * weight[t])) if len(t) else (t, w) for t, w in raw]
 
-    toxic = np.array([r["toxic"] for r in made], float)
+    toxic = made.column("toxic").to_numpy().astype(float)
     plain, k = weighed(idf), 256
     copies = [np.arange(0)] * len(raw)
     index = BlockMaxIndex(plain, len(terms))
@@ -317,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, m
     owner = np.repeat(np.arange(len(raw)), [len(t) for t, _ in raw])
     told = association(np.ones(len(raw), bool), toxic, share, np.concatenate([np.zeros(0, np.int64), *(t for t, _ in raw)]), owner, len(terms))
     weight = idf * (1 + np.sqrt(np.maximum(0, told - CHANCE)))
-    model = Model(terms, weight, other, [r["doc_id"] for r in made], toxic, share, weighed(weight))
+    model = Model(terms, weight, other, made.column("doc_id").to_pylist(), toxic, share, weighed(weight))
     model.base = float(share @ toxic / share.sum()) if raw else 0.0
     if 0 < toxic.sum() < len(toxic):
         index, votes = BlockMaxIndex(model.vectors, len(terms)), []

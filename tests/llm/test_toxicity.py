@@ -54,12 +54,12 @@ def test_blocks_below_the_bound_are_not_read():
 
 
 def test_vectors_are_tf_idf():
-    vectors = toxicity.Vectors(["bad", "worse", "wors*"], np.array([2.0, 3.0, 1.0]), 4.0)
+    vectors = toxicity.Vectors(pa.array(["bad", "worse", "wors*"]), np.array([2.0, 3.0, 1.0]), 4.0)
     (t, w), none, odd, null = vectors(pa.array(["Bad, bad worse! odd", "", "odd 12", None]))
     want = np.array([(1 + np.log(2)) * 2.0, 3.0, 1.0])
     assert t.tolist() == [0, 1, 2] and np.allclose(w, want / np.sqrt(want @ want + 16))
     assert len(none[0]) == len(odd[0]) == len(null[0]) == 0
-    assert vectors(pa.array([], pa.string())) == [] and toxicity.Vectors([], np.zeros(0), 1.0)(pa.array(["a b"]))[0][0].tolist() == []
+    assert vectors(pa.array([], pa.string())) == [] and toxicity.Vectors(pa.array([], pa.string()), np.zeros(0), 1.0)(pa.array(["a b"]))[0][0].tolist() == []
 
 
 def test_association_is_g_squared():
