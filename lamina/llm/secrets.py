@@ -24,13 +24,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs that may be keys: 16 or more of the characters of keys. Their pieces lie between separators.
-LEAST, PIECE = 16, re.compile(r"[A-Za-z0-9]+")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs that may be keys: of the characters of keys, with dots inside. Their pieces lie between separators.
+#: Least length of a key with a digit, and of one without: made-up words below 16 letters often look like keys.
+LEAST, LEAST_LETTERS, PIECE = 12, 16, re.compile(r"[A-Za-z0-9]+")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 #: Digests of the usual lengths, UUIDs and plain numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
-    r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9+-]+"
+    r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9.+-]+"
     r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})"
 )
 #: The same for one piece of a longer run; UUIDs in one; and names joined of words, short ones too, which only their pieces tell from keys.
@@ -83,20 +84,24 @@ def _keys_within(run: str, vocabulary: str, max_ratio: float) -> list[tuple[int,
                 found[-1] = (begin, m.end())
             else:
                 begin = None
-    return [(a, b) for a, b in found if b - a >= LEAST and b - a <= max_ratio * count(run[a:b])]
+    return [(a, b) for a, b in found if _long(run[a:b]) and not KNOWN.fullmatch(run[a:b]) and b - a <= max_ratio * count(run[a:b])]
+
+
+def _long(run: str) -> bool:
+    return len(run) >= LEAST_LETTERS or len(run) >= LEAST and any(map(str.isdigit, run))
 
 
 def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    """Candidate runs, or else parts of them between separators, with at most ``max_ratio`` characters a token, but for known digests and identifiers."""
+    """Parts of candidate runs between separators, or else whole runs, with at most ``max_ratio`` characters a token, but for known digests and identifiers."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if KNOWN.fullmatch(run):
+        if not _long(run) or KNOWN.fullmatch(run):
             continue
-        if any(c.isdigit() for c in run) and not NAMES.fullmatch(run) and len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run)):
-            found.append((m.start(), m.end(), "random"))
-        else:
-            found += [(m.start() + a, m.start() + b, "random") for a, b in _keys_within(run, vocabulary, max_ratio)]
+        parts = _keys_within(run, vocabulary, max_ratio)
+        if not parts and len(run) >= LEAST_LETTERS and "." not in run and any(c.isdigit() for c in run) and not NAMES.fullmatch(run):
+            parts = [(0, len(run))] * (len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run)))
+        found += [(m.start() + a, m.start() + b, "random") for a, b in parts]
     return found
 
 
@@ -125,8 +130,8 @@ def find_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, max_ratio: float
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row a document.
 
     A null text is as an empty one: no spans, the digest of nothing. The whole text is
-    scanned; repeated rows are each scanned; other columns are ignored. One pass, no
-    shuffle.
+    scanned; repeated rows are each scanned; an empty table gives no rows; other columns
+    are ignored. One pass, no shuffle.
     """
     id_type = docs.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
