@@ -132,8 +132,8 @@ def first_rejection(features: Features, rules: tuple[Rule, ...]) -> str | None:
     return next((r.name for r in rules if r.rejects(features)), None)
 
 
-def ordered(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """``rules`` by rejections per second over ``sample``, greatest first; ties and an empty sample keep the given order.
+def order_of(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[int]:
+    """The places of ``rules`` by rejections per second over ``sample``, greatest first; ties and an empty sample keep the given order.
 
     A rule's cost is its own: each is timed on texts of which nothing is computed yet.
     """
@@ -143,16 +143,23 @@ def ordered(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> tuple[Rule,
         for raw in sample:
             n += rule.rejects(Features(raw))
         scores.append(n / max(time.thread_time() - began, 1e-9))
-    return tuple(r for _, _, r in sorted(zip([-s for s in scores], range(len(rules)), rules)))
+    return sorted(range(len(rules)), key=lambda i: (-scores[i], i))
+
+
+def ordered(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """``rules`` in the order of ``order_of``; rules of one name are different rules."""
+    return tuple(rules[i] for i in order_of(sample, rules))
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
     """At most ``rows`` texts, for estimates of cost and selectivity only: the order of rules never changes a verdict.
 
-    Texts above 64 KB are left out of the estimates, so the driver holds a bounded sample.
+    Those with the least hash of id and text, wherever they lie in the table. Of a longer
+    text the first 64 KB stand for it here, so the driver holds a bounded sample; verdicts
+    are on whole texts.
     """
-    text = docs.select(F.col("text").cast("binary").alias("t")).where(F.octet_length("t") <= 65_536)
-    return [bytes(r["t"]) for r in text.limit(rows).collect()]
+    text = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, 65_536).alias("t")).where("t is not null")
+    return [bytes(r["t"]).decode(errors="ignore").encode() for r in text.orderBy("h").limit(rows).collect()]
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -160,13 +167,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows. kept is
     the cascade's verdict, false where base_failed. A null text is as an empty one: no
-    words, failed. Repeated rows each get a verdict; other columns are ignored. One pass
+    words, failed. Repeated rows each get a verdict; an empty table gives no rows; other columns are ignored. One pass
     over whole texts, no shuffle.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = [r.name for r in ordered(sample_of(docs, sample_rows), rules)]
-    by_name = {r.name: i for i, r in enumerate(rules)}
-    order = [by_name[n] for n in names]
+    order = order_of(sample_of(docs, sample_rows), rules)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = rules is RULES
 
@@ -188,13 +193,15 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that every rule lets pass; a text is worked on up to its first rejection."""
-    order = [r.name for r in ordered(sample_of(docs, sample_rows), rules)]
-    own, place = rules is RULES, {r.name: i for i, r in enumerate(rules)}
+    """The rows of ``docs``, all columns, that every rule lets pass; a text is worked on up to its first rejection.
+
+    A null text is as an empty one; repeated rows each get a verdict; an empty table stays empty.
+    """
+    order, own = order_of(sample_of(docs, sample_rows), rules), rules is RULES
 
     @F.pandas_udf("boolean")
     def passes(column):
-        cascade = tuple((RULES if own else rules)[place[n]] for n in order)
+        cascade = tuple((RULES if own else rules)[i] for i in order)
         return column.map(lambda text: first_rejection(Features((text or "").encode()), cascade) is None)
 
     return docs.where(passes("text"))

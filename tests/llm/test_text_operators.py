@@ -242,3 +242,29 @@ def test_a_very_long_run_is_scanned_in_linear_time():
     began = time.time()
     secrets.scan("password" * 100_000 + "a" * 500_000)
     assert time.time() - began < 30
+
+
+def test_short_and_dotted_keys_are_found_and_plain_runs_are_not():
+    keys = ["xKjQzWvPmNbRtLcYdHgF", "QzXvKjWqPmNbRtLcYdHgFsTa", "Zx9Qw3Lk8Vb2Nm5", "Zx9.Qw3Lk8Vb.2Nm5Rt7Yp1Kd9"]
+    for key in keys:
+        for text in (key, f"see {key}.", f"https://example.com/download/documents/archive/{key} x", f"NAME={key}"):
+            found = [text[a:b] for a, b, _ in secrets.random_spans(text)]
+            assert any(key.endswith(f) and len(f) >= len(key) - 4 for f in found), (text, found)
+            assert all("download" not in f for f in found)
+    for text in ("10.0.0.1234567", "version 1.2.3-alpha.45", "2024-01-01T00:00:00Z", "233.254.104.120", "reader.01@example.com", "d41d8cd98f00b204e9800998ecf8427e."):
+        assert secrets.random_spans(text) == [], text
+
+
+def test_rules_of_one_name_all_apply(spark):
+    rules = (quality.Rule("a", lambda f: f.n_words, least=3), quality.Rule("a", lambda f: f.n_words, most=10_000))
+    docs = documents(spark, [(1, "one", None, "a", 0), (2, "three words here", None, "a", 0), (3, None, None, "a", 0)])
+    assert [r.doc_id for r in quality.keep_good(docs, rules).collect()] == [2]
+    assert sorted(quality.order_of([b"one", b"three words here"], rules)) == [0, 1]
+    assert quality.keep_good(documents(spark, []), rules).collect() == []
+
+
+def test_the_sample_is_of_all_rows_and_of_long_texts_too(spark):
+    rows = [(i, f"text {i} " + "x" * 100_000 * (i == 7), None, "a", 0) for i in range(40)] + [(None, None, None, None, None)]
+    sample = quality.sample_of(documents(spark, rows), 20)
+    assert len(sample) == 20 and sample == quality.sample_of(documents(spark, rows[::-1]), 20)
+    assert max(map(len, quality.sample_of(documents(spark, rows), 100))) == 65_536
