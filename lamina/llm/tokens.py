@@ -10,6 +10,7 @@ document in the index and decompresses only the frames it lies in.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, remove, scratch, slices, texts
 
+#: Text in a file, about.
+FILE_BYTES = 4 << 30
 VOCABULARY, END_ID, FRAME_BYTES, LEVEL, KNOWN_WORDS = "word_bpe_49k.json", 2, 1 << 18, 3, 1_000_000
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC, SEEK_FOOT = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, struct.Struct("<IBI")
 #: Words of letters that are one code point in NFC, in either case.
@@ -218,15 +221,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     Files follow ascending doc_id (nulls first; repeated ids by text) and each is a range
     of it. ``start`` counts the ids in all files before. A text that is null or empty is
     its end id alone. A task writes under a name of its own attempt and only files in the
-    manifest count, so a lost executor leaves nothing behind: other files are deleted. The
-    manifest, one row a file, is the only thing the driver holds.
+    manifest count, so a lost executor leaves nothing behind: other files of the run are
+    deleted, those of other runs or owners stay. There are at least as many files as keep
+    each near ``FILE_BYTES`` of text, so a task's index is bounded but for floods of one id.
+    The manifest, one row a file, is the only thing the driver holds.
     """
     spark = docs.sparkSession
-    many = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run_id, bounds = uuid.uuid4().hex, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bounds // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, name = task.partitionId(), f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok.zst"
+        part, name = task.partitionId(), f"part-{task.partitionId():06d}-{run_id}-{task.taskAttemptId()}.tok.zst"
         fs, folder = store(path)
         out = writer = None
         encode, docs_, tokens = encoder(vocabulary), 0, 0
@@ -250,17 +256,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     for r in sorted(written, key=lambda r: r["part"]):
         rows.append((r["file"], r["part"], r["docs"], r["tokens"], start))
         start += r["tokens"]
-    _drop_others(spark, path, {r[0] for r in rows})
+    _drop_others(spark, path, run_id, {r[0] for r in rows})
     return spark.createDataFrame(rows, "file string, part int, docs long, tokens long, start long")
 
 
-def _drop_others(spark: SparkSession, path: str, names: set[str]) -> None:
-    """Deletes what failed and speculative attempts have left in ``path``."""
+def _drop_others(spark: SparkSession, path: str, run_id: str, names: set[str]) -> None:
+    """Deletes what failed and speculative attempts of this run have left in ``path``, and nothing else."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
         for status in fs.listStatus(target):
-            if status.getPath().getName() not in names:
+            if run_id in status.getPath().getName() and status.getPath().getName() not in names:
                 fs.delete(status.getPath(), False)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -226,9 +227,13 @@ def test_token_files_odd_rows(spark, tmp_path):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in full.collect())
 
 
-def test_files_of_failed_attempts_do_not_count(spark, tmp_path):
+def test_files_of_failed_attempts_go_and_those_of_others_stay(spark, tmp_path, monkeypatch):
     path = tmp_path / "ids"
     path.mkdir()
-    (path / "part-000000-99.tok.zst").write_bytes(b"left by a lost executor")
+    monkeypatch.setattr(tokens.uuid, "uuid4", lambda: uuid.UUID(int=7))
+    (path / f"part-000000-{uuid.UUID(int=7).hex}-99.tok.zst").write_bytes(b"left by a lost executor")
+    strangers = {"notes.txt", f"part-000000-{'1' * 32}-3.tok.zst"}
+    for name in strangers:
+        (path / name).write_bytes(b"somebody's")
     manifest = tokens.write_tokens(documents(spark), f"file://{path}")
-    assert {p.name for p in path.iterdir()} == {r.file for r in manifest.collect()}
+    assert {p.name for p in path.iterdir()} == {r.file for r in manifest.collect()} | strangers
