@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 import uuid
@@ -10,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.config import Config
-from lamina.errors import InvalidColumns, InvalidValue, TableNotFound
+from lamina.errors import CommitConflict, InvalidColumns, InvalidValue, TableNotFound
 from lamina.functions.types import coerce, guarded, logical, of_spark
 from lamina.operators.compaction import Load, arranged, compact
 from lamina.operators.engines import replacing
 from lamina.plans import statements as S
-from lamina.plans.select import remaining_columns, table_refs
+from lamina.plans.select import qualifiers, remaining_columns, table_refs
 from lamina.sources.catalog import PART_SEQ, ROW_SEQ, Catalog, ColumnDef, TableDef, define, valid_name
 from lamina.sources.fs import shared_root
 from lamina.sources.parts import Part, PartStore
 
+log = logging.getLogger(__name__)
+
 
 class Engine:
     """Tables below one folder, over a Spark session of its own settings.
@@ -78,7 +81,11 @@ class Engine:
         """A query in Spark's SQL; ``database.table [FINAL]`` is one of this engine's tables or attached Parquet tables."""
         refs = table_refs(text)
         views: dict = {}
-        for start, end, ref in reversed(refs):
+        edits = [*refs, *((a, b, None) for a, b in qualifiers(text, refs))]
+        for start, end, ref in sorted(edits, key=lambda e: -e[0]):
+            if ref is None:
+                text = text[:start] + text[end:]
+                continue
             if ref not in views:
                 views[ref] = f"lamina_{uuid.uuid4().hex}"
                 self.table(ref.database, ref.name, ref.final).createOrReplaceTempView(views[ref])
@@ -162,21 +169,33 @@ class Engine:
                 raise InvalidColumns(f"column {c.name} has neither a value nor a default")
         return store.add(arranged(df.select(*out, ROW_SEQ), table), source, epoch)
 
-    def compact(self, database: str, name: str, max_parts: int | None = None) -> Part | None:
-        """Merges the oldest ``max_parts`` parts, or all."""
-        return compact(self.parts(database, name), max_parts)
+    def compact(self, database: str, name: str, max_parts: int | None = None, alike: bool = False) -> Part | None:
+        """Merges the oldest ``max_parts`` parts, or all; with ``alike`` the neighbours with the fewest rows."""
+        return compact(self.parts(database, name), max_parts, alike)
 
     def compact_if_idle(self, max_parts: int | None = 2) -> int:
-        """One merge step on every table that has more than one part, as long as the load allows it; returns the merges."""
+        """One merge step on every table that has more than one part, as long as the load allows it; returns the merges.
+
+        A table that another writer has just changed is left for the next time.
+        """
         done = 0
         for database in self.catalog.databases():
             for name in self.catalog.tables(database):
-                if self.load.allows_merge() and len(self.parts(database, name).manifest().parts) > 1:
-                    done += self.compact(database, name, max_parts) is not None
+                if self.idle() and len(self.parts(database, name).manifest().parts) > 1:
+                    try:
+                        done += self.compact(database, name, max_parts, alike=True) is not None
+                    except CommitConflict:
+                        log.info("%s.%s changed during a merge", database, name)
         return done
 
-    def vacuum(self, database: str, name: str) -> list[str]:
-        return self.parts(database, name).vacuum()
+    def idle(self) -> bool:
+        """Whether the load allows a merge. Spark jobs at work count as running SELECTs, whose DataFrames are run after ``sql`` returns."""
+        jobs = len(self.spark.sparkContext.statusTracker().getActiveJobsIds())
+        return self.load.allows_merge(jobs * self.load.weights["select"])
+
+    def vacuum(self, database: str, name: str, older_than: float = 0.0) -> list[str]:
+        """Deletes what no live manifest lists; give ``older_than`` seconds where writers may be at work."""
+        return self.parts(database, name).vacuum(older_than)
 
 
 _NOT_ALIAS = {
@@ -186,20 +205,28 @@ _NOT_ALIAS = {
 
 
 class Merger(threading.Thread):
-    """Merges in the background while the engine's load allows; ``stop`` waits for the step at work and raises what went wrong."""
+    """Merges in the background while the engine's load allows.
+
+    A step that fails is logged and tried again, after twice the time for each failure in
+    turn and ``most_seconds`` at most. ``stop`` waits for the step at work and raises what
+    the last step failed with.
+    """
 
-    def __init__(self, engine: Engine, seconds: float | None = None) -> None:
+    def __init__(self, engine: Engine, seconds: float | None = None, most_seconds: float = 60.0) -> None:
         super().__init__(daemon=True)
+        self.most_seconds = most_seconds
         self.engine, self.seconds = engine, seconds or engine.config.merge_seconds
         self.ending, self.failure, self.merges = threading.Event(), None, 0
 
     def run(self) -> None:
-        while not self.ending.wait(self.seconds):
+        wait = self.seconds
+        while not self.ending.wait(wait):
             try:
                 self.merges += self.engine.compact_if_idle()
-            except Exception as e:  # kept for stop(); the thread ends
-                self.failure = e
-                return
+                self.failure, wait = None, self.seconds
+            except Exception as e:  # the thread outlives it
+                log.exception("a merge failed")
+                self.failure, wait = e, min(2 * wait, max(self.most_seconds, self.seconds))
 
     def stop(self) -> None:
         self.ending.set()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -25,20 +26,29 @@ def arranged(df: DataFrame, table: TableDef) -> DataFrame:
     return merge_tree(df.repartitionByRange(*table.order_by, *tie), list(table.order_by), tie)
 
 
-def compact(parts: PartStore, max_parts: int | None = None) -> Part | None:
+def compact(parts: PartStore, max_parts: int | None = None, alike: bool = False) -> Part | None:
     """Merges the ``max_parts`` oldest parts (all by default) into one; None if there is nothing to merge.
 
-    Rows keep their hidden columns, so a later merge breaks ties as if all were merged at
+    With ``alike`` those neighbours that have the fewest rows together, of equal ones the
+    oldest: parts then grow alike, and a row is rewritten a number of times that grows with
+    the logarithm of the inserts. A column that a part lacks gets its default. Rows keep their hidden columns, so a later merge breaks ties as if all were merged at
     once. Readers of the old parts are not disturbed.
     """
     if max_parts is not None and max_parts < 2:
         raise ValueError("a merge takes two parts or more")
     live = parts.manifest().parts
-    old = live[:max_parts]
+    many = min(max_parts or len(live), len(live))
+    begin = min(range(len(live) - many + 1), key=lambda i: (sum(p.rows for p in live[i : i + many]) * alike, i))
+    old = live[begin : begin + many]
     if len(old) < 2 and not (len(old) == 1 and max_parts is None and parts.table.engine == "ReplacingMergeTree"):
         return None
-    df = parts.read(old)
-    return parts.replace(old, arranged(with_defaults(df, parts.table), parts.table))
+    names = tuple(c.name for c in parts.table.columns)
+    alike: dict[tuple[str, ...], list[Part]] = {}
+    for p in old:
+        alike.setdefault(tuple(n for n in names if not p.columns or n in p.columns), []).append(p)
+    read = [with_defaults(parts.read(tuple(some), held), parts.table) for held, some in alike.items()]
+    df = reduce(lambda a, b: a.unionByName(b), read)
+    return parts.replace(old, arranged(df, parts.table))
 
 
 def with_defaults(df: DataFrame, table: TableDef) -> DataFrame:
@@ -67,5 +77,6 @@ class Load:
         with self.lock:
             self.running -= weight
 
-    def allows_merge(self) -> bool:
-        return self.running < self.merge_below
+    def allows_merge(self, others: int = 0) -> bool:
+        """``others``: the weight of what runs beside the statements that were entered."""
+        return max(self.running, others) < self.merge_below

@@ -118,7 +118,11 @@ class Server(socketserver.ThreadingTCPServer):
     def run(self, text: str) -> bytes:
         began = time.perf_counter()
         try:
-            return answer(self.engine.sql(text), began)
+            weight = self.engine.load.enter("select")  # rows are gathered while the answer is made
+            try:
+                return answer(self.engine.sql(text), began)
+            finally:
+                self.engine.load.leave(weight)
         except (LaminaError, PySparkException) as e:
             return pack({"Err": f"{type(e).__name__}: {e}"})
         except Exception:  # the connection outlives a fault in one statement

@@ -166,6 +166,10 @@ class Catalog:
         found["columns"] = tuple(ColumnDef(**c) for c in found["columns"])
         return TableDef(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
+    def drop_metadata(self, database: str, name: str) -> None:
+        """Forgets a table's definition and leaves its parts, for a definition with further columns to take them over."""
+        self.store.delete(f"{self.table_path(database, name)}/metadata.json")
+
     def drop_table(self, database: str, name: str, if_exists: bool = False) -> bool:
         try:
             self.table(database, name)
@@ -174,7 +178,7 @@ class Catalog:
                 return False
             raise
         # the metadata first: from then on the table is gone, whatever happens to its files
-        self.store.delete(f"{self.table_path(database, name)}/metadata.json")
+        self.drop_metadata(database, name)
         self.store.delete(self.table_path(database, name))
         return True
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from lamina.errors import StorageError
+
 
 class Store:
     """Metadata of a few kilobytes each; table data never passes here."""
@@ -35,6 +38,14 @@ class Store:
         found = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
         return sorted(n for n in found if n[0] not in "._")
 
+    def age(self, path: str) -> float:
+        """Seconds since the last change of a file or of anything right in a folder; 0 if it is gone."""
+        fs, target = self._at(path)
+        if not fs.exists(target):
+            return 0.0
+        times = [fs.getFileStatus(target).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(target))]
+        return time.time() - max(times) / 1000
+
     def delete(self, path: str) -> None:
         fs, target = self._at(path)
         fs.delete(target, True)
@@ -72,11 +83,14 @@ class Store:
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir or the temporary one where that is unset.
+    """A new folder that driver and executors share, below spark.checkpoint.dir; below a temporary one where that is unset and Spark is local.
 
     It is deleted when the driver's Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise StorageError("set spark.checkpoint.dir to a folder that all hosts share")
+    base = base or tempfile.mkdtemp(prefix="lamina-")
     path = f"{base.rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
 
     def gone() -> None:

@@ -1,11 +1,16 @@
 """Tables, inserts, merges, recovery and streams on small hand-made rows."""
 
+import json
+import time
+
 import pytest
 from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import functions as F
 
+from lamina import __main__ as prompt
 from lamina import errors as E
 from lamina.engine import Engine, Merger
+from lamina.errors import CommitConflict
 from lamina.operators.compaction import with_defaults
 from lamina.operators.engines import merge_tree, replacing, replacing_max_by
 from lamina.operators.granules import candidates, marks
@@ -234,3 +239,84 @@ def test_names_are_case_sensitive_and_hidden_ones_stay_hidden(engine):
     for bad in ("SELECT A FROM db.t", "SELECT a FROM (SELECT a FROM db.t) x WHERE flag", "SELECT __part_seq FROM db.t", "SELECT a FROM db.t WHERE a"):
         with pytest.raises(AnalysisException):
             engine.sql(bad)
+
+
+def test_a_merger_outlives_conflicts_and_failures(engine, monkeypatch):
+    for i in range(3):
+        if i == 0:
+            engine.sql("CREATE TABLE db.m (id Int32)")
+        engine.insert_rows("db", "m", ["id"], [(i,)])
+    real, left = engine.compact, [CommitConflict("lost a race"), RuntimeError("a disk"), None]
+
+    def compact(*args, **named):
+        fault = left.pop(0) if left else None
+        if fault:
+            raise fault
+        return real(*args, **named)
+
+    monkeypatch.setattr(engine, "compact", compact)
+    merger = Merger(engine, 0.02, 0.05)
+    merger.start()
+    for _ in range(600):
+        if len(engine.parts("db", "m").manifest().parts) == 1:
+            break
+        time.sleep(0.05)
+    merger.stop()  # raises nothing: the last step was well
+    assert merger.merges >= 1 and rows(engine.table("db", "m")) == [(0,), (1,), (2,)]
+
+
+def test_background_merges_rewrite_few_rows(engine):
+    engine.sql("CREATE TABLE db.g (id Int32)")
+    for i in range(4):
+        engine.insert_rows("db", "g", ["id"], [(i,)])
+    written = 0
+    while (part := engine.compact("db", "g", 2, alike=True)) is not None:
+        written += part.rows
+    assert written == 8 and rows(engine.table("db", "g")) == [(i,) for i in range(4)]
+
+
+def test_a_merge_fills_columns_that_a_part_lacks(engine):
+    engine.sql("CREATE TABLE db.w (id Int32)")
+    engine.insert_rows("db", "w", ["id"], [(1,)])
+    path = f"{engine.catalog.table_path('db', 'w')}/metadata.json"
+    old = json.loads(engine.catalog.store.read(path))
+    old["columns"].append({"name": "b", "type": "Int32", "nullable": True, "default": "3", "has_default": True})
+    engine.catalog.store.delete(path)
+    engine.catalog.store.create(path, json.dumps(old))
+    engine.insert_rows("db", "w", ["id", "b"], [(2, 5)])
+    assert rows(engine.sql("SELECT id, coalesce(b, -1) FROM db.w")) == [(1, -1), (2, 5)]  # a scan gives NULL
+    engine.compact("db", "w")
+    assert rows(engine.table("db", "w")) == [(1, 3), (2, 5)]
+
+
+def test_jobs_at_work_hold_merges_back(engine, monkeypatch):
+    class Busy:
+        def getActiveJobsIds(self):  # noqa: N802
+            return range(8)
+
+    monkeypatch.setattr(type(engine.spark.sparkContext), "statusTracker", lambda self: Busy())
+    assert not engine.idle()
+
+
+def test_the_prompt_goes_on_after_any_statement(engine, capsys):
+    for line in ("SELECT nothing FROM db.nowhere", "SELECT misspelt FROM (SELECT 1 AS a)", "SELECT 1 AS one"):
+        prompt.step(engine, line)
+    out = capsys.readouterr().out
+    assert "TableNotFound" in out and "AnalysisException" in out and "one" in out
+
+
+def test_vacuum_spares_what_is_young(engine):
+    engine.sql("CREATE TABLE db.y (id Int32)")
+    for i in range(2):
+        engine.insert_rows("db", "y", ["id"], [(i,)])
+    engine.compact("db", "y")
+    assert engine.vacuum("db", "y", older_than=3600) == [] and len(engine.vacuum("db", "y")) == 2
+
+
+def test_tables_are_told_from_other_uses_of_from(engine):
+    engine.sql("CREATE TABLE db.a (id Int32, s String)")
+    engine.insert_rows("db", "a", ["id", "s"], [(1, "xx"), (2, None)])
+    assert rows(engine.sql("SELECT x.id FROM db.a x JOIN db.a y ON x.s IS NOT DISTINCT FROM y.s WHERE y.id = 2")) == [(2,)]
+    assert rows(engine.sql("SELECT substring(a.s FROM a.id) FROM db.a WHERE a.s IS DISTINCT FROM a.id || 'z' AND a.id = 1")) == [("xx",)]
+    assert rows(engine.sql("SELECT trim(BOTH 'x' FROM a.s) AS t, EXTRACT(YEAR FROM DATE'2020-01-01') AS y FROM db.a WHERE id = 1")) == [("", 2020)]
+    assert rows(engine.sql("SELECT db.a.id FROM db.a WHERE db.a.s IS NULL ORDER BY db.a.id")) == [(2,)]
