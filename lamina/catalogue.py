@@ -7,6 +7,7 @@ inserts and compaction over tables made in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lamina.engine import Engine
 from lamina.operators.engines import replacing, replacing_max_by
 from lamina.operators.granules import marks
+from lamina.sources.catalog import ColumnDef
+from lamina.streaming.ingest import stream_into
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +57,20 @@ SELECTS: dict[str, tuple[str, str | None]] = {
         "SELECT c_nationkey, c_custkey, rk FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rk FROM sf.customer) t WHERE rk <= 3",
         None,
     ),
+    "order_tuple": ("SELECT o_orderkey, o_custkey FROM sf.orders ORDER BY (o_custkey, o_orderkey) LIMIT 7", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 7"),
+    "order_nulls_last": (
+        "SELECT k, n_name FROM (SELECT nullif(n_regionkey, 2) AS k, n_name FROM sf.nation) t ORDER BY k DESC NULLS LAST, n_name LIMIT 22",
+        None,
+    ),
+    "order_null_key": ("SELECT k, n_name FROM (SELECT nullif(n_regionkey, 2) AS k, n_name FROM sf.nation) t ORDER BY k, n_name LIMIT 7", "SELECT k, n_name FROM (SELECT nullif(n_regionkey, 2) AS k, n_name FROM nation) t ORDER BY k NULLS FIRST, n_name LIMIT 7"),
+    "null_comparison": ("SELECT n_nationkey FROM (SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM sf.nation) t WHERE NOT k = 1 OR k <> k", None),
+    "negative_literal": ("SELECT c_custkey, c_acctbal FROM sf.customer WHERE c_acctbal < -100 AND -c_custkey <= -3", None),
+    "other_operators": ("SELECT o_orderkey, o_orderkey % 7 + 2 * o_custkey AS n FROM sf.orders WHERE o_orderkey % 7 = 3 AND o_orderpriority || '!' LIKE '1%' AND o_custkey - 2 > 5", None),
+    "distinct_from": ("SELECT a.n_nationkey FROM sf.nation a JOIN sf.region b ON nullif(a.n_regionkey, 2) IS NOT DISTINCT FROM nullif(b.r_regionkey, 2)", None),
+    "extract_from": ("SELECT EXTRACT(YEAR FROM o.o_orderdate) AS y, count(*) AS n FROM sf.orders o GROUP BY EXTRACT(YEAR FROM o.o_orderdate)", None),
+    "qualified_column": ("SELECT sf.customer.c_custkey, sf.nation.n_name FROM sf.customer JOIN sf.nation ON sf.customer.c_nationkey = sf.nation.n_nationkey WHERE sf.customer.c_acctbal > 9000", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000"),
+    "comma_join": ("SELECT n.n_name, r.r_name FROM sf.nation n, sf.region r WHERE n.n_regionkey = r.r_regionkey", None),
+    "having_distinct": ("SELECT DISTINCT n FROM (SELECT o_custkey, count(*) AS n FROM sf.orders GROUP BY o_custkey HAVING count(*) > 5) t", None),
     "union_all": ("SELECT n_name AS name FROM sf.nation UNION ALL SELECT r_name AS name FROM sf.region", None),
 }
 
@@ -152,7 +169,57 @@ def granule_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks(part, ["p_partkey"], 100).select("granule", "p_partkey")
 
 
+def part_not_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AND, OR and NOT over the sort key of a table of parts."""
+    return _lines(spark, sf_dir, "MergeTree", 2).sql("SELECT l_orderkey, l_linenumber, l_partkey FROM db.lines WHERE NOT (l_orderkey > 50 AND l_orderkey <= 9000 OR l_orderkey = 7)")
+
+
+def missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose later parts have a column more: rows of older parts have NULL there."""
+    engine = engine_over(spark, sf_dir)
+    nations = engine.table("sf", "nation")
+    engine.catalog.create_database("db")
+    old = nations.select("n_nationkey", "n_name")
+    engine.create_like("db", "t", old, ["n_nationkey"])
+    engine.insert_df("db", "t", old.where("n_nationkey < 10"))
+    table = engine.catalog.table("db", "t")
+    more = replace(table, columns=(*table.columns, ColumnDef("n_regionkey", "Int32")))
+    engine.catalog.drop_metadata("db", "t")
+    engine.catalog.create_table(more)
+    engine.insert_df("db", "t", nations.where("n_nationkey >= 10"))
+    return engine.sql("SELECT n_nationkey, n_name, n_regionkey FROM db.t")
+
+
+def drop_and_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and databases that were dropped can be made anew, and are empty; what is missing is skipped if asked."""
+    engine = engine_over(spark, sf_dir)
+    make = "CREATE TABLE IF NOT EXISTS db.r (k Int32, name String) ORDER BY (k)"
+    fill = "INSERT INTO db.r (k, name) SELECT r_regionkey, r_name FROM sf.region"
+    for statement in (
+        "DROP DATABASE IF EXISTS db", "CREATE DATABASE db", "CREATE DATABASE IF NOT EXISTS db", make, make, fill,
+        "DROP TABLE db.r", "DROP TABLE IF EXISTS db.r", make, fill, "DROP DATABASE db", "CREATE DATABASE db", make,
+        f"{fill} WHERE r_regionkey > 1",
+    ):
+        engine.sql(statement)
+    return engine.sql("SELECT k, name FROM db.r")
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events table, inserted by micro-batch and merged."""
+    engine = engine_over(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    engine.catalog.create_database("db")
+    engine.create_like("db", "e", spark.createDataFrame([], schema), ["user_id", "event_type", "ts", "event_id"], ["user_id", "event_type"], "ReplacingMergeTree")
+    stream = engine.spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    stream_into(engine, stream, "db", "e", f"{engine.root}/checkpoint").awaitTermination()
+    return engine.sql(f"SELECT {', '.join(_EVENT)} FROM db.e FINAL")
+
+
 FUNCTIONS: dict[str, tuple[Query, str]] = {
+    "part_not_filter": (part_not_filter, "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT (l_orderkey > 50 AND l_orderkey <= 9000 OR l_orderkey = 7)"),
+    "missing_column": (missing_column, "SELECT n_nationkey, n_name, CASE WHEN n_nationkey >= 10 THEN n_regionkey END AS n_regionkey FROM nation"),
+    "drop_and_create": (drop_and_create, "SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey > 1"),
+    "streamed_events": (streamed_events, _LAST_EVENT),
     "merge_tree_scan": (merge_tree_scan, "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 900"),
     "merge_tree_compaction": (merge_tree_compaction, f"SELECT {', '.join(_LINES)} FROM lineitem"),
     "replacing_pre_merge": (replacing_pre_merge, _LAST_LINE.replace("PARTITION BY", "PARTITION BY l_suppkey % 3,")),
