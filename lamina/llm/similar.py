@@ -29,8 +29,8 @@ SHINGLE, SIMILARITY, WIDTH, TABLES, SAMPLE = 5, 0.8, 16, 16, 5
 BUSY, AHEAD, CHUNK, SLACK = 16, 4, 256, 2.0
 #: Standard deviations that the filter before the exact verification allows; sets up to which it is not asked.
 FILTER, SMALL = 4.0, 32
-#: Pivots a busy block, and members a task that compares those still apart.
-PIVOTS, PIECE, OTHERS = 4, 512, 4096
+#: Pivots a busy block, and shingles that a piece of those still apart holds (about 8 MB).
+PIVOTS, PIECE = 4, 1 << 20
 _ODD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, TABLES + 2 * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MANY = 1 << 16
 
@@ -136,28 +136,64 @@ def _apart(rows: DataFrame, linked: DataFrame, side: str, out: str) -> DataFrame
 
 
 def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The members of blocks that are not in one group yet: b, k, node, group, the block's largest group (main), its members (n) and those outside (out)."""
-    named = _apart(members.select("b", "k", "node"), linked, "node", "group")
+    """The members of blocks that are not in one group yet: b, k, node, size, group and the block's largest group (main)."""
+    named = _apart(members.select("b", "k", "node", "size"), linked, "node", "group")
     sizes = named.groupBy("b", "k", "group").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("b", "k").agg(F.max(F.struct("c", "group")).alias("_"), F.sum("c").alias("n"), F.count("*").alias("groups")).where("groups > 1")
-    return named.join(largest.select("b", "k", F.col("_.group").alias("main"), "n", (F.col("n") - F.col("_.c")).alias("out")), ["b", "k"])
-
+    largest = sizes.groupBy("b", "k").agg(F.max(F.struct("c", "group")).alias("_"), F.count("*").alias("groups")).where("groups > 1")
+    return named.join(largest.select("b", "k", F.col("_.group").alias("main")).hint("rebalance"), ["b", "k"])
+
+
+def _spanning(a: pa.Table, b: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect the groups of ``a`` with those of ``b`` (node, group, hashes) as far as sets are similar: each joins two groups not joined before."""
+    values = [t.column("hashes").combine_chunks() for t in (a, b)]
+    ends = [np.cumsum([0, *map(len, v)]) for v in values]
+    ids = np.unique(np.concatenate([v.flatten().to_numpy() for v in values]), return_inverse=True)[1]
+    mine, theirs = ids[: ends[0][-1]], ids[ends[0][-1] :]
+    groups = [t.column("group").to_numpy().copy() for t in (a, b)]
+    nodes, size, out = [t.column("node").to_numpy() for t in (a, b)], np.diff(ends[1]), []
+    there = np.zeros(len(ids), bool)
+    for i, n in enumerate(np.diff(ends[0])):
+        wanted = (groups[1] != groups[0][i]) & (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-6)
+        if not wanted.any():
+            continue
+        own = mine[ends[0][i] : ends[0][i + 1]]
+        there[own] = True
+        both = np.add.reduceat(there[theirs], ends[1][:-1], dtype=np.int64)
+        there[own] = False
+        for j in np.flatnonzero(wanted & (both / (n + size - both) >= similarity)):
+            old, new = groups[1][j], groups[0][i]
+            if old != new:
+                out.append((int(nodes[0][i]), int(nodes[1][j])))
+                for g in groups:
+                    g[g == old] = new
+    return out
+
+
+def _rest(members: DataFrame, sets: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """u, v: verified links between members of a block that lie in different groups, enough to connect all similar ones.
+
+    Of two such members one at least is outside the block's largest group. Blocks with the
+    same largest group are taken together, so that a member is there once: those outside
+    the group are compared with all members, in pieces of bounded size. A pair of pieces
+    gives a link only where it joins two groups, so never more than it has members.
+    """
+    left = cut(_open(members, linked).select("main", "node", "size", "group").distinct())
+    outside = F.when(F.col("group") != F.col("main"), F.col("size")).otherwise(0)
+    left = left.join(left.groupBy("main").agg(F.sum("size").alias("n"), F.sum(outside).alias("out")).hint("rebalance"), "main")
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / PIECE)).cast("int")
+    count = lambda c: F.explode(F.sequence(F.lit(0), pieces(c) - 1))
+    at = lambda c: F.pmod(F.xxhash64("node"), pieces(c)).cast("int")
+    a = left.where("group != main").select("main", "node", "group", at("out").alias("i"), count("n").alias("j"))
+    b = left.select("main", "node", "group", at("n").alias("j"), count("out").alias("i"))
+    key = ["main", "i", "j"]
 
-def _rest(members: DataFrame, nodes: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """u, v: all pairs of a block that lie in different groups and may be similar.
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _spanning(a, b, similarity) if a.num_rows and b.num_rows else []
+        return pa.table({"u": pa.array([min(p) for p in found], pa.int64()), "v": pa.array([max(p) for p in found], pa.int64())})
 
-    Of two such members one at least is outside the block's largest group. Those are
-    compared with all members, in pieces of bounded size.
-    """
-    left = cut(_open(members, linked))
-    mine, theirs = F.ceil(F.col("out") / PIECE).cast("int"), F.ceil(F.col("n") / OTHERS).cast("int")
-    count = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    at = lambda n: F.pmod(F.xxhash64("node", "b"), n).cast("int")
-    a = left.where("group != main").select("b", "k", F.col("node").alias("u"), F.col("group").alias("ug"), at(mine).alias("i"), count(theirs).alias("j"))
-    b = left.select("b", "k", F.col("node").alias("v"), F.col("group").alias("vg"), (F.col("group") == F.col("main")).alias("in"), at(theirs).alias("j"), count(mine).alias("i"))
-    pairs = _sketched(a, nodes, "u").join(_sketched(b, nodes, "v"), ["b", "k", "i", "j"])
-    pairs = pairs.where((F.col("ug") != F.col("vg")) & (F.col("in") | (F.col("u") < F.col("v"))) & _close("u", "v", similarity))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # toDF: columns of their own for each side, which are cut from the same tables
+    sides = [t.join(sets, "node").select(*key, "node", "group", "hashes").toDF(*key, "node", "group", "hashes").groupBy(*key) for t in (a, b)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, "u long, v long").distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -169,14 +205,14 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     wide fingerprint that change with the block's number, and compared with the next
     ``AHEAD``. That links most, and tells which members have most near ones: those, the
     originals of copies, are compared with all of the block. What then is in different
-    groups of a block is compared pair by pair.
+    groups of a block is compared pair by pair, and links come of it where they join groups.
     """
     keys = F.concat(
         F.array(*[F.struct(F.lit(t).alias("b"), F.col(c).alias("k")) for t, c in enumerate(_BLOCKS)]),
         F.transform("prefix", lambda k: F.struct(F.lit(TABLES).alias("b"), k.alias("k"))),
     )
-    blocks = nodes.select("node", F.explode(keys).alias("_")).select("node", "_.b", "_.k")
-    shared = blocks.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = nodes.select("node", "size", F.explode(keys).alias("_")).select("node", "size", "_.b", "_.k")
+    shared = blocks.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1").hint("rebalance")
     members = cut(blocks.join(shared, ["b", "k"]))
     few = members.where(F.col("n") <= BUSY).select("b", "k", F.col("node").alias("u"))
     pairs = few.join(few.withColumnRenamed("u", "v"), ["b", "k"]).where(F.col("u") < F.col("v")).select("u", "v").distinct()
@@ -184,7 +220,7 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     near = _sketched(_sketched(pairs, nodes, "u"), nodes, "v").where(_close("u", "v", similarity)).select("u", "v", apart)
 
     crowd = members.where(F.col("n") > BUSY)
-    busy = _sketched(crowd.withColumnRenamed("node", "u"), nodes, "u")
+    busy = _sketched(crowd.drop("size").withColumnRenamed("node", "u"), nodes, "u")
     words = F.array(*["u" + c for c in _WIDE])
     busy = busy.withColumn("piece", F.pmod(F.xxhash64("u", "b"), F.ceil(F.col("n") / CHUNK)))
     for i, step in enumerate((0, 3)):
@@ -207,11 +243,11 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     score = both.groupBy(F.col("u").alias("node")).agg(F.sum(F.lit(64 * WIDTH) - F.col("d")).alias("score"))
     left = cut(_open(crowd, linked))
     best = F.max_by(F.struct("node", "group"), F.struct(F.coalesce("score", F.lit(0)), "node")).alias("_")
-    pivots = left.join(score, "node", "left").groupBy("b", "k", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(best).select("b", "k", F.col("_.node").alias("p"), F.col("_.group").alias("pg"))
+    pivots = left.join(score, "node", "left").groupBy("b", "k", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(best).select("b", "k", F.col("_.node").alias("p"), F.col("_.group").alias("pg")).hint("rebalance")
     tried = left.join(pivots, ["b", "k"]).where("group != pg").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
     tried = _sketched(_sketched(tried, nodes, "u"), nodes, "v").where(_close("u", "v", similarity)).select("u", "v")
     found = cut(found.union(_verified(rest.union(tried).distinct(), sets, similarity)).distinct())
-    return found.union(_verified(_rest(crowd, nodes, roots(found), similarity), sets, similarity)).distinct()
+    return found.union(_rest(crowd, sets, roots(found), similarity)).distinct()
 
 
 def groups(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
