@@ -15,10 +15,10 @@ from lamina.llm.common import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Joins each neighbour that is greater than a node to the least of the node and its neighbours."""
+    """Joins each neighbour that is greater than a node to the least of the node and its neighbours. Gives no more rows than edges; some may be equal."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("rebalance")
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,19 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lesser.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("root"))
+    ends = up.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("ups").alias("ups"), F.max("root").alias("root"))
+    return ends.agg(F.count_if(F.col("ups") + F.col("root") > 1)).first()[0] == 0
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of ``edges`` (u, v, of one ordered type), the least node it can reach.
 
-    Loops and repeated edges do no harm. Each round is cut; it ends when a round changes
-    nothing, after a number of rounds that grows with the logarithm of the nodes.
+    Loops and repeated edges do no harm. Each round is cut; it ends when the edges are
+    stars, after a number of rounds that grows with the logarithm of the nodes. Stars given
+    need none: ``stars`` of what is known and new edges need fewer than all edges anew.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    mark, at = None, None
-    while True:
-        at = cut(_small_star(_large_star(now)) if mark is not None else now)
-        new = at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new[0] == 0 or new == mark:
-            break
-        now, mark = at, new
-    lone = at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(lone)
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
+    while not _are_stars(now):
+        now = cut(_small_star(_large_star(now)))
+    lone = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(lone)
+
+
+def stars(linked: DataFrame) -> DataFrame:
+    """u, v: edges that give the groups of ``linked`` (node, root) again."""
+    return linked.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, slices, texts
-from lamina.llm.components import roots
+from lamina.llm.components import roots, stars
 from lamina.llm.simhash import hashes, id_name, majority, only
 
 SHINGLE, SIMILARITY, WIDTH, TABLES, SAMPLE = 5, 0.8, 16, 16, 5
@@ -235,8 +235,7 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     sets = cut(_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), shingle))
     # the nearest of each node first: most others are then in its group and need no sets
     first = likely.groupBy("u").agg(F.min_by("v", "d").alias("v")).union(likely.groupBy("v").agg(F.min_by("u", "d").alias("u")).select("u", "v")).distinct()
-    found = cut(_verified(first, sets, similarity))
-    linked = roots(found)
+    linked = roots(_verified(first, sets, similarity))
 
     rest = _apart(_apart(likely.select("u", "v"), linked, "u", "ug"), linked, "v", "vg").where("ug != vg").select("u", "v")
     both = likely.select("u", "d").union(likely.select(F.col("v").alias("u"), "d"))
@@ -246,8 +245,8 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     pivots = left.join(score, "node", "left").groupBy("b", "k", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(best).select("b", "k", F.col("_.node").alias("p"), F.col("_.group").alias("pg")).hint("rebalance")
     tried = left.join(pivots, ["b", "k"]).where("group != pg").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
     tried = _sketched(_sketched(tried, nodes, "u"), nodes, "v").where(_close("u", "v", similarity)).select("u", "v")
-    found = cut(found.union(_verified(rest.union(tried).distinct(), sets, similarity)).distinct())
-    return found.union(_rest(crowd, sets, roots(found), similarity)).distinct()
+    linked = roots(stars(linked).union(_verified(rest.union(tried).distinct(), sets, similarity)))
+    return stars(linked).union(_rest(crowd, sets, linked, similarity))
 
 
 def groups(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
