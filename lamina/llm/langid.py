@@ -45,7 +45,7 @@ def letter_vector(code: int, dimensions: int, seed: int) -> np.ndarray:
 
 
 def pieces(raw: bytes) -> Iterator[bytes]:
-    """Cuts a long text at white space (inside a word only if that word is above ``PIECE`` bytes)."""
+    """Cuts a long text between characters, at white space if there is any; the next piece goes on where one ends."""
     while len(raw) > PIECE:
         at = max(raw.rfind(c, 0, PIECE) for c in (b" ", b"\n"))
         if at <= 0:
@@ -64,8 +64,10 @@ def trigrams(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, raw in enumerate(group):
         for piece in pieces(raw):
             codes = letters()[np.frombuffer(piece.decode().encode("utf-32-le"), np.uint32)]
-            marks += [codes, np.zeros(1, np.int64)]
-            owner.append(np.full(len(codes) + 1, i, np.int32))
+            marks.append(codes)
+            owner.append(np.full(len(codes), i, np.int32))
+        marks.append(np.zeros(1, np.int64))
+        owner.append(np.full(1, i, np.int32))
     codes, owners = np.concatenate(marks), np.concatenate(owner)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)

@@ -42,6 +42,13 @@ def test_a_long_text_is_the_sum_of_its_pieces(monkeypatch):
     assert np.array_equal(langid.bundle([text, b""], 128)[:1], want)
 
 
+def test_a_long_word_is_not_cut(monkeypatch):
+    raws = [("ab" * 900 + "déjà" * 300).encode(), ("x" * 1500 + " " + "yz" * 700).encode()]
+    want = langid.bundle(raws, 128)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    assert np.array_equal(langid.bundle(raws, 128), want)
+
+
 def test_held_out_accuracy(spark):
     docs = read(spark, f"{DATA}/sf0.01", "documents")
     got = langid.languages(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
