@@ -21,7 +21,8 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
 
     ``best[j]`` is the least padding of the first j lengths in k buckets; a bucket over
     lengths i..j-1 pads each of its rows up to length j-1. Ties take the smaller i.
-    No lengths give no bounds.
+    No lengths give no bounds. The best i never falls as j grows, so each j looks between
+    those of its neighbours only: buckets x lengths x log(lengths) steps.
     """
     order = np.argsort(lengths)
     size, n = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
@@ -32,10 +33,17 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     cuts = []
     for _ in range(1, min(buckets, len(size))):
         new, at = best.copy(), np.zeros(len(size) + 1, np.int64)
-        for j in range(1, len(size) + 1):
-            cost = best[:j] + size[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            at[j] = int(np.argmin(cost))
-            new[j] = cost[at[j]]
+        spans = [(1, len(size), 0, len(size) - 1)]
+        while spans:
+            first, last, low, high = spans.pop()
+            if first > last:
+                continue
+            j = (first + last) // 2
+            i = slice(low, min(j - 1, high) + 1)
+            cost = best[i] + size[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+            at[j] = low + int(np.argmin(cost))
+            new[j] = cost[at[j] - low]
+            spans += [(first, j - 1, low, at[j]), (j + 1, last, at[j], high)]
         best = new
         cuts.append(at)
     bounds, j = [int(size[-1])], len(size)
