@@ -71,6 +71,16 @@ def test_pack_odd_rows(spark):
         packing.pack(documents(spark), buckets=0)
 
 
+def test_bounds_of_many_lengths_are_optimal():
+    rng = random.Random(8)
+    lengths = sorted(rng.sample(range(1, 900), 200))
+    counts = [rng.randint(1, 9) ** 3 for _ in lengths]
+    best = {0: 0}
+    for _ in range(6):  # bucket by bucket, all splits
+        best = {j: min(c + sum(n * (lengths[j - 1] - s) for s, n in zip(lengths[i:j], counts[i:j])) for i, c in best.items() if i <= j) for j in range(201) if j == 0 or best}
+    assert padding_of(lengths, counts, packing.optimal_bounds(lengths, counts, 6)) == best[200]
+
+
 # ---- sharding
 
 
@@ -121,6 +131,48 @@ def test_map_versions_are_kept(spark, tmp_path):
         sharding.save_map(spark, path, 1, [0] * 16, [0] * 16)
 
 
+def test_null_and_repeated_ids_spread(spark):
+    rows = [(None if i % 2 else 7 if i % 4 else i, prose(i, 1 + i % 50), "en", "a", 0) for i in range(4000)]
+    load = defaultdict(int)
+    for r in sharding.shard(documents(spark, rows), shards=8).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= max(len(t) + 1 for _, t, *_ in rows) + 4096
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = documents(spark, [(i, prose(i, 1 + i % 40), None, None, 0) for i in range(1500)])
+    first = {r.doc_id: r for r in sharding.shard(docs, shards=4, slots=256, path=path).collect()}
+    again = {r.doc_id: r for r in sharding.shard(docs, shards=4, slots=256, path=path).collect()}
+    assert {i: r.shard for i, r in again.items()} == {i: r.shard for i, r in first.items()}
+    grown = {r.doc_id: r.shard for r in sharding.shard(docs, shards=5, slots=256, path=path).collect()}
+    moved = sum(grown[i] != first[i].shard for i in grown)
+    assert set(grown.values()) == set(range(5)) and moved <= 1500 * 1.3 / 5
+    more = docs.unionByName(documents(spark, [(9000 + i, prose(i, 30), None, None, 0) for i in range(400)]))
+    load = defaultdict(int)
+    for r in sharding.shard(more, shards=4, slots=256, path=path).collect():
+        load[r.shard] += r.size
+    stored, following = sharding.versions(spark, path)
+    assert stored == list(range(1, following)) and following > 3
+    slots = sharding.slot_sizes(sharding.records(more, 256), 256)
+    assert max(load.values()) <= sum(load.values()) / 4 + max(slots)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, shards=4, slots=128, path=path)
+
+
+def test_slots_are_dealt_as_the_map_says(spark):
+    """Brute force: bytes of each slot, largest first, to the lightest shard."""
+    rows = sharding.shard(documents(spark, [(i, prose(i, 1 + i % 30), None, None, 0) for i in range(800)]), shards=3, slots=32).collect()
+    size = [0] * 32
+    for r in rows:
+        size[r.virtual_slot] += r.size
+    load, home = [0] * 3, {}
+    for s in sorted(range(32), key=lambda s: (-size[s], s)):
+        home[s] = load.index(min(load))
+        load[home[s]] += size[s]
+    assert all(home[r.virtual_slot] == r.shard for r in rows)
+
+
 def test_shard_odd_rows(spark):
     plain = as_list(sharding.shard(documents(spark), 3))
     assert len(plain) == len(edge_rows())
@@ -199,6 +251,22 @@ def test_mix_repeats_whole_documents(spark):
             assert times[i] == whole + (rest > 0 and 2 * rest >= taken[i].size)
 
 
+def test_mix_of_rows_with_one_id(spark):
+    """A third of all rows share an id and length: as many are taken as the target holds, and reruns agree."""
+    rows = [(5 if i % 3 == 0 else i, f"a b c d{i}", None, "ab"[i % 2], 0) for i in range(600)]
+    docs = documents(spark, rows)
+    for budget in (0.4, 1.5, 1.7):
+        mixed = as_list(mixing.mix(docs, budget=budget))
+        want = sum(float(v) for v in water_fill({"a": 1200, "b": 1200}, (5, 2, 1), Fraction(budget), 2).values())
+        assert abs(4 * len(mixed) - want) <= 8 and mixed == as_list(mixing.mix(docs, budget=budget))
+
+
+def test_mix_without_broadcast(spark, monkeypatch):
+    plain = as_list(mixing.mix(documents(spark, mix_rows())))
+    monkeypatch.setattr(mixing, "BROADCAST", -1)
+    assert as_list(mixing.mix(documents(spark, mix_rows()))) == plain
+
+
 def test_mix_odd_rows(spark):
     assert mixing.mix(documents(spark, [])).collect() == [] and mixing.takes(documents(spark, [])).collect() == []
     assert {r.taken for r in mixing.takes(documents(spark, [(1, None, None, None, None), (2, "", None, "a", 0)])).collect()} == {0}
