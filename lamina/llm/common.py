@@ -61,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slim(df: DataFrame, rows: int, each: int = 1 << 15, least: int = 8) -> DataFrame:
+    """``df`` in fewer tasks if it has few rows: ``each`` rows (measured or bounded by ``rows``) a task, and ``least`` tasks.
+
+    Every exchange writes files for each task before it, so that many tasks with a few
+    rows each cost more disk and time than the rows. A narrow step; tables with more rows keep their tasks.
+    """
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes ``path`` in whatever store it lies."""
     jvm = spark.sparkContext._jvm

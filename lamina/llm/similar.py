@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, slices, texts
+from lamina.llm.common import cut, slices, slim, texts
 from lamina.llm.components import roots, stars
 from lamina.llm.simhash import hashes, id_name, majority, only
 
@@ -169,15 +169,15 @@ def _spanning(a: pa.Table, b: pa.Table, similarity: float) -> list[tuple[int, in
     return out
 
 
-def _rest(members: DataFrame, sets: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+def _rest(members: DataFrame, sets: DataFrame, linked: DataFrame, similarity: float, n: int) -> DataFrame:
     """u, v: verified links between members of a block that lie in different groups, enough to connect all similar ones.
 
-    Of two such members one at least is outside the block's largest group. Blocks with the
+    ``n`` bounds the rows of ``members``. Of two such members one at least is outside the block's largest group. Blocks with the
     same largest group are taken together, so that a member is there once: those outside
     the group are compared with all members, in pieces of bounded size. A pair of pieces
     gives a link only where it joins two groups, so never more than it has members.
     """
-    left = cut(_open(members, linked).select("main", "node", "size", "group").distinct())
+    left = slim(cut(slim(_open(members, linked), n).select("main", "node", "size", "group").distinct()), n)
     outside = F.when(F.col("group") != F.col("main"), F.col("size")).otherwise(0)
     left = left.join(left.groupBy("main").agg(F.sum("size").alias("n"), F.sum(outside).alias("out")).hint("rebalance"), "main")
     pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / PIECE)).cast("int")
@@ -214,8 +214,11 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     blocks = nodes.select("node", "size", F.explode(keys).alias("_")).select("node", "size", "_.b", "_.k")
     shared = blocks.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1").hint("rebalance")
     members = cut(blocks.join(shared, ["b", "k"]))
+    n = members.count()
+    members = slim(members, n)
     few = members.where(F.col("n") <= BUSY).select("b", "k", F.col("node").alias("u"))
-    pairs = few.join(few.withColumnRenamed("u", "v"), ["b", "k"]).where(F.col("u") < F.col("v")).select("u", "v").distinct()
+    pairs = few.join(few.withColumnRenamed("u", "v"), ["b", "k"]).where(F.col("u") < F.col("v")).select("u", "v")
+    pairs = slim(slim(pairs, BUSY * n).distinct(), BUSY * n)
     apart = _distance([F.col("u" + c) for c in _WIDE], [F.col("v" + c) for c in _WIDE]).alias("d")
     near = _sketched(_sketched(pairs, nodes, "u"), nodes, "v").where(_close("u", "v", similarity)).select("u", "v", apart)
 
@@ -231,22 +234,27 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shi
     seen = busy.select(*own, F.array(*ahead).alias("next")).select(*own, F.explode("next").alias("_")).select(*own, "_.*").where("v is not null")
     star = seen.where(_close("u", "v", similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), apart)
     likely = cut(near.union(star).distinct())
+    m = likely.count()
+    likely = slim(likely, m)
 
     sets = cut(_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), shingle))
     # the nearest of each node first: most others are then in its group and need no sets
-    first = likely.groupBy("u").agg(F.min_by("v", "d").alias("v")).union(likely.groupBy("v").agg(F.min_by("u", "d").alias("u")).select("u", "v")).distinct()
+    first = likely.groupBy("u").agg(F.min_by("v", "d").alias("v")).union(likely.groupBy("v").agg(F.min_by("u", "d").alias("u")).select("u", "v"))
+    first = slim(slim(first, m).distinct(), m)
     linked = roots(_verified(first, sets, similarity))
 
     rest = _apart(_apart(likely.select("u", "v"), linked, "u", "ug"), linked, "v", "vg").where("ug != vg").select("u", "v")
     both = likely.select("u", "d").union(likely.select(F.col("v").alias("u"), "d"))
-    score = both.groupBy(F.col("u").alias("node")).agg(F.sum(F.lit(64 * WIDTH) - F.col("d")).alias("score"))
-    left = cut(_open(crowd, linked))
+    score = slim(both.groupBy(F.col("u").alias("node")).agg(F.sum(F.lit(64 * WIDTH) - F.col("d")).alias("score")), m)
+    left = slim(cut(slim(_open(crowd, linked), n)), n)
     best = F.max_by(F.struct("node", "group"), F.struct(F.coalesce("score", F.lit(0)), "node")).alias("_")
-    pivots = left.join(score, "node", "left").groupBy("b", "k", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(best).select("b", "k", F.col("_.node").alias("p"), F.col("_.group").alias("pg")).hint("rebalance")
-    tried = left.join(pivots, ["b", "k"]).where("group != pg").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
+    pivots = left.join(score, "node", "left").groupBy("b", "k", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(best).select("b", "k", F.col("_.node").alias("p"), F.col("_.group").alias("pg"))
+    pivots = slim(pivots, n).hint("rebalance")
+    tried = left.join(pivots, ["b", "k"]).where("group != pg").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v"))
+    tried = slim(slim(tried, PIVOTS * n).distinct(), PIVOTS * n)
     tried = _sketched(_sketched(tried, nodes, "u"), nodes, "v").where(_close("u", "v", similarity)).select("u", "v")
     linked = roots(stars(linked).union(_verified(rest.union(tried).distinct(), sets, similarity)))
-    return stars(linked).union(_rest(crowd, sets, linked, similarity))
+    return stars(linked).union(_rest(crowd, sets, linked, similarity, n))
 
 
 def groups(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
