@@ -159,7 +159,10 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
     are on whole texts.
     """
     text = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, 65_536).alias("t")).where("t is not null")
-    return [bytes(r["t"]).decode(errors="ignore").encode() for r in text.orderBy("h").limit(rows).collect()]
+    # the hashes alone first: each task sends its least ones, and only the chosen texts follow
+    least = text.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    chosen = text.where(F.col("h") <= F.lit(least)) if least is not None else text
+    return [bytes(r["t"]).decode(errors="ignore").encode() for r in chosen.orderBy("h").limit(rows).collect()]
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
